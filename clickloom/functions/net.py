@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.text import trimmed
+from clickloom.plans.barrier import computed_once
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DOTTED = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -77,13 +78,18 @@ def ipv4_digits(c: Column) -> Column:
 
 
 def _expanded(c: Column) -> Column:
-    """Groups of a valid IPv6 text, each padded to four digits, the ``::`` written out."""
-    dotted = F.lpad(F.hex(ipv4_number(F.regexp_extract(c, rf"({_DOTTED})\z", 1))), 8, "0")
-    tail = F.concat(F.substring(dotted, 1, 4), F.lit(":"), F.substring(dotted, 5, 4))
-    groups = F.when(c.contains("."), F.concat(F.regexp_replace(c, r"[0-9.]+\z", ""), tail)).otherwise(c)
-    colons = F.length(groups) - F.length(F.replace(groups, F.lit(":"), F.lit("")))
-    full = F.replace(groups, F.lit("::"), F.concat(F.repeat(F.lit(":0"), F.lit(8) - colons), F.lit(":")))
-    padded = F.concat(F.lit("0000"), F.replace(F.lower(full), F.lit(":"), F.lit(":0000")))
+    """Groups of a valid IPv6 text, each padded to four digits, the ``::`` written out.
+
+    Every step uses the one before it once, so the expression stays small.
+    """
+    dotted = c.contains(".")
+    tail = F.lpad(F.hex(ipv4_number(F.regexp_extract(c, rf"({_DOTTED})\z", 1))), 8, "0")
+    head = F.regexp_replace(c, r"[0-9.]+\z", "")
+    groups = F.when(dotted, F.concat(head, F.regexp_replace(tail, r"\A(.{4})", "$1:"))).otherwise(c)
+    colons = F.length(c) - F.length(F.translate(c, ":", "")) + F.when(dotted, 1).otherwise(0)
+    zeros = F.concat(F.repeat(F.lit(":0"), F.lit(8) - colons), F.lit(":"))
+    full = F.replace(F.lower(groups), F.lit("::"), zeros)
+    padded = F.concat(F.lit("0000"), F.replace(full, F.lit(":"), F.lit(":0000")))
     return F.regexp_replace(padded, r"[0-9a-f]*([0-9a-f]{4})(?::|\z)", "$1")
 
 
@@ -233,17 +239,18 @@ def match_cidr_table(df: DataFrame, ip: str, ranges: DataFrame, cidr: str = "cid
     """
     address, length = F.split_part(F.col(cidr), F.lit("/"), F.lit(1)), F.split_part(F.col(cidr), F.lit("/"), F.lit(2))
 
-    def digits(c: Column) -> Column:
-        return F.when(_has_colon(c), ipv6_digits(c)).otherwise(ipv4_digits(c))
+    def with_digits(frame: DataFrame, c: Column, *others: Column) -> DataFrame:
+        found = F.when(_has_colon(c), ipv6_digits(c)).otherwise(ipv4_digits(c))
+        frame = frame.select(*others, computed_once(found).alias("_digits"))
+        return frame.where("_digits is not null").withColumn("_width", F.length("_digits") * 4)
 
-    listed = ranges.select(digits(address).alias("_digits"), length.try_cast("int").alias("_given")).withColumns({
-        "_width": F.length("_digits") * 4})
+    listed = with_digits(ranges, address, length.try_cast("int").alias("_given"))
     listed = listed.withColumn("_length", F.coalesce("_given", "_width")).where("_length between 0 and _width")
     keys = listed.select("_width", "_length", _prefix(F.col("_digits"), F.col("_length")).alias("_prefix")).distinct()
     # One row per family, at most 33 and 129 lengths in its array.
     lengths = keys.groupBy("_width").agg(F.collect_set("_length").alias("_lengths"))
-    probe = df.select(F.col(ip).alias("_ip")).distinct().withColumn("_digits", digits(F.col("_ip")))
-    probe = probe.withColumn("_width", F.length("_digits") * 4).join(F.broadcast(lengths), "_width")
+    addresses = df.select(F.col(ip).alias("_ip")).distinct()
+    probe = with_digits(addresses, F.col("_ip"), F.col("_ip")).join(F.broadcast(lengths), "_width")
     probe = probe.select("_ip", "_width", "_digits", F.explode("_lengths").alias("_length"))
     probe = probe.withColumn("_prefix", _prefix(F.col("_digits"), F.col("_length")))
     hits = probe.join(keys, ["_width", "_length", "_prefix"], "left_semi").select("_ip").distinct()

@@ -13,6 +13,7 @@ from clickloom.functions.geo import UNKNOWN_COUNTRY, country_allowed, is_country
 from clickloom.functions.net import is_public
 from clickloom.functions.text import trimmed
 from clickloom.functions.web import fallback_url, render_url, valid_url_text
+from clickloom.plans.barrier import computed_once
 from clickloom.plans.lookup import lookup_join
 from clickloom.plans.pruning import utc_date
 
@@ -74,7 +75,7 @@ def decide(requests: DataFrame, settings: Settings, reputation: DataFrame) -> Da
     go = F.lit(False)
     if settings.system_on and urls:
         go = ~F.col("is_muted") & (F.col("device") == "WAP") & ~F.col("is_vpn") & allowed
-    df = df.withColumn("decision", F.when(go, "A").otherwise("B"))
+    df = df.select("*", computed_once(F.when(go, "A").otherwise("B")).alias("decision"))
     other = fallback_url(F.col("click_id"), F.col("routed_country"), F.col("device"), F.col("ip"), F.col("user_lp"))
     target = other
     if urls:

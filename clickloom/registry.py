@@ -12,6 +12,7 @@ from clickloom.functions import device as dev
 from clickloom.functions import geo, net, numbers, secure, text, web
 from clickloom.operators import attribution, browse, quality, routing, security, stats, tables
 from clickloom.sources import derived, params, postbacks, requests, service_log
+from clickloom.session import tune
 from clickloom.sources.derived import read
 from clickloom.streaming import jobs, sinks
 
@@ -48,7 +49,10 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _register(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(tune(spark), sf_dir)
+
+    _QUERIES[f.__name__] = run
     return f
 
 
@@ -72,6 +76,11 @@ def _pick(index: Column, *choices) -> Column:
     return out
 
 
+def _params(*pairs: Column) -> Column:
+    """Alternating names and values as a map, as a request reader would deliver it."""
+    return F.map_from_arrays(F.array(*pairs[::2]), F.array(*pairs[1::2]))
+
+
 def _reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.requests_from(read(spark, sf_dir, "events")).where("ip like '203.%' and user_id % 5 <> 1")
     answer = F.when(F.bool_or(F.col("user_id") % 5 == 0), "Y").otherwise("N")
@@ -114,7 +123,7 @@ def ingest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = derived.requests(spark, sf_dir)
     i = F.col("id") % 3
-    given = F.create_map(
+    given = _params(
         _pick(i, F.lit("click_id"), F.lit("cid"), F.lit("click_id")), F.col("click_id"),
         _pick(i, F.lit("country_code"), F.lit("country"), F.lit("cc")), F.col("country_code"),
         _pick(i, F.lit("user_agent"), F.lit("device"), F.lit("ua")), F.col("user_agent"),
@@ -143,7 +152,7 @@ def ingest_postbacks_secure(spark: SparkSession, sf_dir: str) -> DataFrame:
         click_id, F.when(F.col("country_code") == "", "XX").otherwise(F.col("country_code")),
         F.col("payout").cast("double"), F.col("status"))
     signature = F.when(d == 1, "0" * 64).otherwise(secure.hmac_sha256(payload, SECRET))
-    given = F.create_map(
+    given = _params(
         _pick(i, F.lit("click_id"), F.lit("clickid"), F.lit("cid"), F.lit("s2")), click_id,
         _pick(i, F.lit("status"), F.lit("conversion_status"), F.lit("action"), F.lit("status")), F.col("status"),
         _pick(i, F.lit("payout"), F.lit("amount"), F.lit("revenue"), F.lit("commission")), _postback_text("payout"),
@@ -167,7 +176,7 @@ def ingest_postbacks_flexible(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = d == 3
     payout = F.when(none, F.lit(None)).when(d == 5, "1e3").when(d == 7, F.concat(F.lit("-"), _postback_text("payout")))
     payout = payout.otherwise(_postback_text("payout"))
-    given = F.create_map(
+    given = _params(
         _pick(i, F.lit("click_id"), F.lit("cid"), F.lit("transaction_id"), F.lit("txid")), F.when(~none, F.col("click_id")),
         _pick(i, F.lit("status"), F.lit("s"), F.lit("state"), F.lit("st")), F.col("status"),
         _pick(i, F.lit("payout"), F.lit("p"), F.lit("rev"), F.lit("a")), payout,
@@ -186,7 +195,7 @@ def ingest_postbacks_flexible(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_postbacks_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived.received(spark, sf_dir)
     i, d = F.col("id") % 2, F.col("id") % 10
-    given = F.create_map(
+    given = _params(
         _pick(i, F.lit("click_id"), F.lit("cid")), F.when(d == 9, "").otherwise(F.col("click_id")),
         F.lit("status"), F.when(d == 3, "").otherwise(F.col("status")),
         F.lit("payout"), F.when(i == 0, "1.50").when(d == 7, "-1").otherwise(_postback_text("payout")),
@@ -257,7 +266,7 @@ def append_postback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_postbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted rows of the tracking receiver, as they are stored."""
     p = derived.received(spark, sf_dir)
-    given = F.create_map(
+    given = _params(
         F.lit("status"), F.col("status"), F.lit("payout"), F.substring_index(_postback_text("payout"), ".", -1),
         F.lit("country"), F.col("country_code"), F.lit("traffic_type"), F.col("traffic_type"),
         F.lit("click_id"), F.col("click_id"))

@@ -19,6 +19,7 @@ from clickloom.functions.secure import hmac_ok
 from clickloom.functions.text import (
     ascii_upper, empty_to_null, first_bytes, is_blank_or_zero, sanitize,
 )
+from clickloom.plans.barrier import computed_once
 from clickloom.sources.params import first_filled, first_present, to_query_string
 
 # Networks a receiver accepts unless configured otherwise.
@@ -54,7 +55,7 @@ def ingest_postbacks(df: DataFrame, profile: str, config: ReceiverConfig | None
 def _finish(df: DataFrame, fields: dict[str, Column], reason: Column) -> DataFrame:
     raw = {"params", "method", "query_string", "body", "client_ip", "api_key", "signature"}
     carried = [c for c in df.columns if c not in raw | set(fields) and not c.startswith("_")]
-    return df.select(*carried, *[c.alias(n) for n, c in fields.items()], reason.alias("reject_reason"))
+    return df.select(*carried, *[c.alias(n) for n, c in fields.items()], computed_once(reason).alias("reject_reason"))
 
 
 def _secure(df: DataFrame, config: ReceiverConfig) -> DataFrame:

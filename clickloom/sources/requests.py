@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.net import NO_ADDRESS, is_ip
 from clickloom.functions.text import ascii_upper, keep_id_chars, keep_letters, sanitize
+from clickloom.plans.barrier import computed_once
 from clickloom.sources.params import first_present
 
 MAX_BODY_BYTES = 10240
@@ -40,7 +41,7 @@ def ingest_decisions(raw: DataFrame, body: str = "body", content_type: str | Non
     defaults = dict.fromkeys(REQUEST_COLUMNS, "") | {"country_code": "XX"}
     fields = {c: F.coalesce(F.when(whole, F.col(f"_in.{c}")), F.lit(d)) for c, d in defaults.items()}
     out = parsed.withColumns(_clean(fields)).drop("_in")
-    return out.withColumn("reject_reason", _address_reason(F.col("ip_address")))
+    return out.select("*", computed_once(_address_reason(F.col("ip_address"))).alias("reject_reason"))
 
 
 def ingest_external(df: DataFrame, params: str = "params", client_address: str | None = None) -> DataFrame:
@@ -57,7 +58,7 @@ def ingest_external(df: DataFrame, params: str = "params", client_address: str |
     own = F.col(client_address) if client_address is not None else F.lit(NO_ADDRESS)
     clean["ip_address"] = F.when(clean["ip_address"] == "", own).otherwise(clean["ip_address"])
     out = df.withColumns(clean)
-    return out.withColumn("reject_reason", _address_reason(F.col("ip_address")))
+    return out.select("*", computed_once(_address_reason(F.col("ip_address"))).alias("reject_reason"))
 
 
 def _address_reason(ip: Column) -> Column:
