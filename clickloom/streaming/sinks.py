@@ -14,8 +14,7 @@ from clickloom.streaming.jobs import STATE_STORE
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """New folder under the cluster's shared one (``spark.checkpoint.dir``); a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = shared or tempfile.mkdtemp(prefix="clickloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clickloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
