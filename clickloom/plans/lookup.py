@@ -26,22 +26,24 @@ def fits_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= broadcast_limit(df)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, spread: list[str] | None = None) -> DataFrame:
+def lookup_join(
+    left: DataFrame, right: DataFrame, key: str, spread: list[str] | None = None, hot: DataFrame | None = None
+) -> DataFrame:
     """Left join to a frame that is unique on ``key``, keeping every left row once.
 
     A right side under the session's broadcast bound is broadcast. A larger one is shuffled, and then a hot or
     missing key would send its rows to one task: the keys with most rows (a fixed number of them) are answered by a
     broadcast of their few right rows, and the rows they leave behind join on a spread key that matches nothing.
+    Callers that know the keys with most rows pass at most ``HOT_KEYS`` of them as ``hot``; otherwise they are counted.
     """
     if fits_broadcast(right):
         return left.join(F.broadcast(right), key, "left")
     if left.isStreaming:
         return left.join(right, key, "left")
     values = [c for c in right.columns if c != key]
-    hot = (
-        left.where(F.col(key).isNotNull()).groupBy(key).count()
-        .orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key)
-    )
+    if hot is None:
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
+        hot = counts.orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key)
     hot_rows = right.join(F.broadcast(hot), key, "left_semi")
     answers = hot.join(F.broadcast(hot_rows), key, "left").select(
         key, F.lit(True).alias("_hot"), F.struct(*values).alias("_hot_values"))

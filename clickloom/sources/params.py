@@ -20,28 +20,31 @@ def query_params(get_qs: Column, post_qs: Column | None = None) -> Column:
     pairs = F.filter(F.split(text, "&"), lambda p: (p != "") & ~p.startswith("="))
 
     def decoded(part: Column) -> Column:
-        return F.coalesce(F.try_url_decode(part), part)
+        escaped = part.contains("%") | part.contains("+")
+        return F.when(escaped, F.coalesce(F.try_url_decode(part), part)).otherwise(part)
 
     def name(pair: Column) -> Column:
-        return F.translate(decoded(F.split_part(pair, F.lit("="), F.lit(1))), ". ", "__")
+        return F.translate(decoded(F.substring_index(pair, "=", 1)), ". ", "__")
 
     def value(pair: Column) -> Column:
         return F.when(pair.contains("="), decoded(_after_equals(pair))).otherwise("")
 
-    entries = F.transform(pairs, lambda p: F.struct(name(p).alias("key"), value(p).alias("value")))
+    # Reversed, so that the first entry of a name is the one that wins.
+    found = F.struct(F.reverse(F.transform(pairs, name)).alias("names"), F.reverse(F.transform(pairs, value)).alias("values"))
 
-    def last_wins(es: Column) -> Column:
-        def kept(e: Column, i: Column) -> Column:
-            return ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"])
+    def as_map(e: Column) -> Column:
+        names, values = e["names"], e["values"]
+        unique = F.array_distinct(names)
+        winners = F.transform(unique, lambda n: F.get(values, (F.array_position(names, n) - 1).cast("int")))
+        return F.when(F.size(unique) == F.size(names), F.map_from_arrays(names, values)).otherwise(
+            F.map_from_arrays(unique, winners))
 
-        return F.map_from_entries(F.filter(es, kept))
-
-    # The one-element array binds the decoded entries once, however often they are compared.
-    return F.get(F.transform(F.array(entries), last_wins), F.lit(0))
+    # The one-element array binds the decoded entries once, however often they are used.
+    return F.get(F.transform(F.array(found), as_map), F.lit(0))
 
 
 def _after_equals(pair: Column) -> Column:
-    return F.regexp_replace(pair, r"(?s)\A[^=]*=", "")
+    return F.substr(pair, F.instr(pair, "=") + 1)
 
 
 def first_filled(params: Column, names: Sequence[str], default: str | None) -> Column:
