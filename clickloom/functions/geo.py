@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,15 @@ from clickloom.functions.text import ascii_upper, trimmed
 UNKNOWN_COUNTRY = "XX"
 
 
-def country_codes() -> list[str]:
+@cache
+def country_codes() -> tuple[str, ...]:
     """Assigned ISO 3166-1 alpha-2 codes, as the JVM's locale data lists them, plus the unknown code."""
     locale = SparkSession.active()._jvm.java.util.Locale
-    return sorted({*locale.getISOCountries(), UNKNOWN_COUNTRY})
+    return tuple(sorted({*locale.getISOCountries(), UNKNOWN_COUNTRY}))
 
 
 def is_country(c: Column) -> Column:
-    return F.coalesce(ascii_upper(c).isin(country_codes()), F.lit(False))
+    return F.coalesce(ascii_upper(c).isin(*country_codes()), F.lit(False))
 
 
 def norm_country(c: Column) -> Column:

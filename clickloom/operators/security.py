@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from clickloom.plans.lookup import HOT_KEYS, lookup_join
+from clickloom.plans.lookup import lookup_join
 from clickloom.plans.pruning import DAY, since
 
 RATE_LIMIT_MAX = 120
@@ -154,13 +154,13 @@ def request_windows(df: DataFrame, window: int = RATE_LIMIT_WINDOW, at_least: in
 
 
 def _denied_seconds(df: DataFrame, max_requests: int, window: int) -> DataFrame:
-    """Seconds with denied requests: ip, ts, n, window_start, room (requests of that second that still pass)."""
+    """Seconds with denied requests: ip, ts, window_start, room (requests of that second that still pass)."""
     counted = request_windows(df, window, at_least=max_requests)
     # At most window + 1 rows per window.
     earlier = Window.partitionBy("ip", "window_start").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     room = F.greatest(F.lit(max_requests) - before, F.lit(0))
-    return counted.withColumn("room", room).where("n > room").select("ip", "ts", "n", "window_start", "room")
+    return counted.withColumn("room", room).where("n > room").select("ip", "ts", "window_start", "room")
 
 
 def rate_limit(
@@ -174,15 +174,13 @@ def rate_limit(
     full = _denied_seconds(df, max_requests, window).withColumn("_slot", _slot())
     spread = ["ip", "ts", order]
     slotted = df.withColumn("_slot", _slot())
-    # The busiest of these seconds: their counts are known already.
-    hot = full.orderBy(F.desc("n"), "_slot").limit(HOT_KEYS).select("_slot")
     split = full.where("room > 0").select("_slot", "room")
-    ranked = lookup_join(slotted.select("_slot", *spread), split, "_slot", spread, hot)
+    ranked = lookup_join(slotted.select("_slot", *spread), split, "_slot", spread)
     place = F.row_number().over(Window.partitionBy("_slot").orderBy(order))
     ranked = ranked.where("room is not null").withColumn("_place", place).where(F.col("_place") <= max_requests)
     edge = ranked.where("_place = room").select("_slot", F.col(order).alias("_last"))
     limits = full.join(edge, "_slot", "left").select("_slot", "_last", "window_start", F.lit(True).alias("_full"))
-    joined = lookup_join(slotted, limits, "_slot", spread, hot)
+    joined = lookup_join(slotted, limits, "_slot", spread)
     denied = F.col("_full").isNotNull() & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))
     out = joined.withColumn("allowed", ~denied)
     return out.select(*df.columns, "allowed", F.when(~F.col("allowed"), F.col("window_start")).alias("window_start"))
