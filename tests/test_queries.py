@@ -6,6 +6,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from clickloom import oracles, registry
 
 
 @pytest.fixture(scope="module")
@@ -14,14 +15,15 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(oracles.oracle_sql())
+    assert set(registry.queries()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, sf_dir, con, name):
     df = entry.queries()[name](spark, sf_dir)
     names, expected = compare.sql_rows(con, entry.oracle_sql()[name])
