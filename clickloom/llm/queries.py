@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickloom.llm import pii, quality, secrets, simhash
+from clickloom.llm import (
+    contamination, conversations, packing, pii, piece_counts, quality, resharding, secrets, simhash, token_files, tokens)
+
+OLD_SHARDS, NEW_SHARDS = 32, 40
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +31,44 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups_digest(simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokens.public_vocabulary("byte_bpe_50k.json", end_id=0, spaces_count=True)
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.render_maximal(_table(spark, sf_dir, "conversations"))
+
+
+def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 shards by hash of the id to 40 of equal bytes."""
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS))
+    assigned = resharding.reshard(_table(spark, sf_dir, "documents"), old, NEW_SHARDS)
+    return resharding.slots_digest(resharding.rewrite(assigned))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_counts.count_tokens(_table(spark, sf_dir, "documents"), model, limit=4096)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokens.public_vocabulary("word_bpe_49k.json", end_id=1, spaces_count=False)
+    return packing.packing_digest(packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), vocabulary)))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(quality.judge(_table(spark, sf_dir, "documents")))
 
 
-_QUERIES = (op1_secret_scan, op2_personal_data, op3_simhash, op10_quality_rules)
+_QUERIES = (op1_secret_scan, op2_personal_data, op3_simhash, op4_token_files, op5_chat_format, op6_resharding,
+            op7_token_counts, op8_decontamination, op9_packing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:
@@ -39,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.quality_sql()}
+    return {"op5_chat_format": conversations.rendering_sql(), "op10_quality_rules": quality.quality_sql()}
