@@ -269,4 +269,4 @@ def without_items(docs: DataFrame, items: DataFrame, rules: TemplateRules = Temp
     """The documents in which no item was found, with all their columns. Rows without an id are kept."""
     found = find_items(docs, items, rules, id_col, **columns).where("doc_id is not null")
     hit = found.select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("_found"), "left_anti")
+    return docs.join(hit, docs[id_col] == hit["_found"], "left_anti")

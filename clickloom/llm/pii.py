@@ -20,9 +20,8 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
 # The base patterns, cut so that each runs in linear time.
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED_DIGITS = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_DOTTED_DIGITS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

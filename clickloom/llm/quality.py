@@ -75,60 +75,62 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
 
 
 def _repeat_windows(df: DataFrame) -> DataFrame:
-    """``n_repeat_words`` from ``_words``. Each array is generated once, since lambdas refer to it many times."""
-    hashes = F.transform("_words", lambda w: F.xxhash64(w))
-    df = df.withColumn("_hashes", computed_once(hashes)).drop("_words")
-    last = F.size("_hashes") - WINDOW
+    """``_quality_n_repeat_words`` from ``_quality_words``. Each array is generated once, since lambdas refer to it many times."""
+    hashes = F.transform("_quality_words", lambda w: F.xxhash64(w))
+    df = df.withColumn("_quality_hashes", computed_once(hashes)).drop("_quality_words")
+    last = F.size("_quality_hashes") - WINDOW
     windows = F.when(last > 0, F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)])))
-    df = df.withColumn("_windows", computed_once(windows)).drop("_hashes")
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = df.withColumn("_placed", computed_once(placed)).drop("_windows")
+        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("_quality_hashes", i + k) for k in range(WINDOW)])))
+    df = df.withColumn("_quality_windows", computed_once(windows)).drop("_quality_hashes")
+    repeats = F.size(F.array_distinct("_quality_windows")) < F.size("_quality_windows")
+    placed = F.when(repeats, F.sort_array(F.transform("_quality_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = df.withColumn("_quality_placed", computed_once(placed)).drop("_quality_windows")
 
     def same(one: Column, other: Column) -> Column:
         return F.coalesce(one["h"] == other["h"], F.lit(False))
 
-    twins = F.filter("_placed", lambda x, j: same(x, F.get("_placed", j - 1)) | same(x, F.get("_placed", j + 1)))
+    twins = F.filter("_quality_placed", lambda x, j: same(x, F.get("_quality_placed", j - 1)) | same(x, F.get("_quality_placed", j + 1)))
     starts = F.sort_array(F.transform(twins, lambda x: x["i"]))
     covered = F.aggregate(
         starts, F.struct(F.lit(-WINDOW).alias("at"), F.lit(0).cast("bigint").alias("n")),
         lambda acc, x: F.struct(x.alias("at"), (acc["n"] + F.least(x - acc["at"], F.lit(WINDOW))).alias("n")),
         lambda acc: acc["n"])
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("_placed")
+    return df.withColumn("_quality_n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("_quality_placed")
 
 
 def judge(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
     """The documents with the column ``_quality``: counts, the verdict and the text without its failing lines.
 
-    One row per input row and no shuffle. A null text has no words and fails. Fields: n_words, word_chars, n_symbols,
+    One row per input row and no shuffle. A null text has no words and fails. A column ``_quality`` of the input is
+    replaced. Fields: n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, n_failed_lines, lost_chars (word characters of failing lines), kept and
     clean (the remaining lines, joined).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [c for c in docs.columns if c != "_quality"]
     df = docs.select(
-        *docs.columns, F.col(text_col).alias("_text"), computed_once(_words(text)).alias("_words"))
-    df = df.withColumn("_n_words", F.size("_words").cast("bigint"))
-    df = _repeat_windows(df).withColumnRenamed("n_repeat_words", "_n_repeat_words")
-    text = F.coalesce(F.col("_text"), F.lit(""))
+        *own, F.col(text_col).alias("_quality_text"), computed_once(_words(text)).alias("_quality_words"))
+    df = df.withColumn("_quality_n_words", F.size("_quality_words").cast("bigint"))
+    df = _repeat_windows(df)
+    text = F.coalesce(F.col("_quality_text"), F.lit(""))
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_fails(x, rules).alias("fails")))
-    df = df.withColumn("_lines", computed_once(lines))
+    df = df.withColumn("_quality_lines", computed_once(lines))
     wordy = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    failed = F.filter("_lines", lambda x: x["fails"])
+    failed = F.filter("_quality_lines", lambda x: x["fails"])
     lost = F.aggregate(failed, F.lit(0).cast("bigint"), lambda acc, x: acc + _word_chars(x["line"]))
-    clean = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
-    base_failed = (F.col("_n_words") < 10) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * 20)
+    clean = F.array_join(F.transform(F.filter("_quality_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+    base_failed = (F.col("_quality_n_words") < 10) | (F.col("_quality_n_repeat_words") * 100 > F.col("_quality_n_words") * 20)
     facts = [
-        F.col("_n_words").alias("n_words"), _word_chars(text).alias("word_chars"),
+        F.col("_quality_n_words").alias("n_words"), _word_chars(text).alias("word_chars"),
         _length_of(text, SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size(wordy) - F.size(F.array_distinct(wordy))).cast("bigint").alias("n_dup_lines"),
-        F.col("_n_repeat_words").alias("n_repeat_words"), base_failed.alias("base_failed"),
+        F.col("_quality_n_repeat_words").alias("n_repeat_words"), base_failed.alias("base_failed"),
         F.size(failed).cast("bigint").alias("n_failed_lines"), lost.alias("lost_chars"), clean.alias("clean"),
     ]
-    df = df.withColumn("_facts", computed_once(F.struct(*facts)))
-    fits = F.col("_facts.lost_chars") * 100 <= F.col("_facts.word_chars") * rules.max_lost_percent
-    return df.select(*docs.columns, F.struct(
-        "_facts.*", (~F.col("_facts.base_failed") & fits).alias("kept")).alias("_quality"))
+    df = df.withColumn("_quality_facts", computed_once(F.struct(*facts)))
+    fits = F.col("_quality_facts.lost_chars") * 100 <= F.col("_quality_facts.word_chars") * rules.max_lost_percent
+    return df.select(*own, F.struct(
+        "_quality_facts.*", (~F.col("_quality_facts.base_failed") & fits).alias("kept")).alias("_quality"))
 
 
 def _word_chars(text: Column) -> Column:

@@ -118,8 +118,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, capacities: Sequenc
     order = [F.desc("size"), F.col("doc_id"), F.col("text")]
     within = Window.partitionBy("old", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("block_start") + F.sum("size").over(within) - F.col("size") / 2
-    target = F.coalesce(F.filter("cuts", lambda c: F.col("_middle") < c["until"])[0]["shard"],
-                        F.element_at("cuts", -1)["shard"])
+    target = F.get(F.filter("cuts", lambda c: F.col("_middle") < c["until"]), 0)["shard"]
     sent = placed.withColumn("_middle", middle).withColumn("shard", target).drop("_middle", "cuts", "block_start")
     same = Window.partitionBy("old", "block", "shard").orderBy(*order)
     return sent.withColumn("rank", F.row_number().over(same) - 1)

@@ -32,7 +32,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates of the structural check. Shorter runs cannot hold a private key.
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{56,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
-_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
 _PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/=]+")
 

@@ -209,7 +209,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "
     """
     groups = simhash_groups(docs, shingle, radius, id_col, text_col)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_other"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped["_other"], "left_anti")
 
 
 def groups_digest(groups: DataFrame) -> DataFrame:

@@ -1,0 +1,158 @@
+"""Secrets and personal data against plain pattern matching, and their added spans."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import random
+import re
+import time
+from collections import Counter
+
+import pytest
+
+from clickloom.llm import pii, queries, secrets
+
+
+def _seq(tag: int, body: bytes) -> bytes:
+    size = len(body)
+    head = bytes([size]) if size < 128 else bytes([0x80 | (n := (size.bit_length() + 7) // 8)]) + size.to_bytes(n, "big")
+    return bytes([tag]) + head + body
+
+
+def _rsa(rng: random.Random) -> bytes:
+    numbers = [b"\0", *[b"\x7f" + rng.randbytes(63) for _ in range(8)]]
+    return _seq(0x30, b"".join(_seq(2, n) for n in numbers))
+
+
+def _jwt() -> str:
+    parts = [json.dumps(x).encode() for x in ({"alg": "HS256", "typ": "JWT"}, {"sub": "1"})] + [b"\x01" * 32]
+    return ".".join(base64.urlsafe_b64encode(p).decode().rstrip("=") for p in parts)
+
+
+def _ssh() -> bytes:
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return (b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 40)
+            + field(b"s" * 80))
+
+
+def naive_secrets(text):
+    found = [("assign", *m.span()) for m in re.finditer(
+        r"""(?a)(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text)
+        if len(m[1]) >= 6]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def naive_personal(text):
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+              if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, pattern, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19),
+                                     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+            if low <= len(digits) <= high and (kind == "phone" or luhn):
+                found.append((kind, *m.span()))
+    return found
+
+
+def test_secrets_equal_plain_patterns():
+    rng = random.Random(1)
+    for _ in range(5000):
+        text = "".join(rng.choice(["token", "Secret", "api_key", "=", ":", '"', " ", "AKIA", "ABCD1234", "deadbeef",
+                                   "0123456789abcdef", "ſecret", "\n", "."]) for _ in range(rng.randint(0, 14)))
+        base = [s for s in secrets.scan_text(text) if s[0] in secrets.BASE_KINDS]
+        assert base == naive_secrets(text), text
+
+
+def test_structures_are_confirmed():
+    rng = random.Random(2)
+    key = _rsa(rng)
+    plain, body = base64.b64encode(key).decode(), base64.encodebytes(key).decode()
+    armour = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    nested = base64.b64encode(armour.encode()).decode()
+    cases = {"key": [plain, key.hex(), key.hex().upper(), nested, base64.b64encode(_ssh()).decode()],
+             "pem": [armour], "jwt": [_jwt()]}
+    for kind, values in cases.items():
+        for value in values:
+            text = f"see é {value} here"
+            assert (kind, 6, 6 + len(value)) in secrets.scan_text(text), (kind, value[:40])
+    broken = [base64.b64encode(key[:-1]).decode(), base64.b64encode(rng.randbytes(600)).decode(),
+              base64.b64encode(key + b"\0").decode(), _ssh()[:-8].hex(), "eyJhIjoxfQ.eyJhIjoxfQ.abc", "eyJ" * 100,
+              "-----BEGIN RSA PRIVATE KEY-----\nnot a key\n-----END RSA PRIVATE KEY-----"]
+    for text in broken:
+        assert not [s for s in secrets.scan_text(text) if s[0] in secrets.METHOD_KINDS], text[:60]
+
+
+def test_personal_data_equals_plain_patterns():
+    rng = random.Random(3)
+    for _ in range(8000):
+        text = "".join(rng.choice("a@.1+ -2.9()0@b%") for _ in range(rng.randint(0, 60)))
+        assert pii.plain_spans(text) == naive_personal(text), text
+
+
+@pytest.mark.parametrize("text,kind,value", [
+    ("mail john dot smith at example dot com now", "email", "john dot smith at example dot com"),
+    ("j.smith [at] mail.example.org!", "email", "j.smith [at] mail.example.org"),
+    ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+    ("bob(at)x(dot)de", "email", "bob(at)x(dot)de"),
+    ("bob@example dot com", "email", "bob@example dot com"),
+    ("at plus one five five five one two three four five six seven", "phone",
+     "plus one five five five one two three four five six seven"),
+    ("ip one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+])
+def test_disguises_map_back(text, kind, value):
+    assert [(k, text[a:b]) for k, a, b in pii.scan_text(text)] == [(kind, value)]
+
+
+@pytest.mark.parametrize("text", ["look at the dot com", "look at example.com", "we met at noon. dot", "one two three",
+                                  "at", "@", "straße é à ñ", "home at last dot dot dot"])
+def test_clean_texts_stay_clean(text):
+    assert pii.scan_text(text) == []
+
+
+def test_long_texts_take_linear_time():
+    for piece in ("a", "1", "1 ", "+1", "eyJ", "password ", " ", "one ", "a@", "(at)", "a at b dot "):
+        text = piece * (200_000 // len(piece))
+        start = time.process_time()
+        secrets.scan_text(text), pii.scan_text(text)
+        assert time.process_time() - start < 20, piece
+
+
+def test_digests(spark, sf_dir, texts):
+    rows = {r.doc_id: r for r in queries.queries()["op1_secret_scan"](spark, sf_dir).collect()}
+    assert set(rows) == set(texts)
+    for doc_id, text in texts.items():
+        spans, r = naive_secrets(text), rows[doc_id]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        n = Counter(s[0] for s in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
+        assert set(joined.split(",")) <= {*r.spans.split(","), ""}
+    rows = {r.doc_id: r for r in queries.queries()["op2_personal_data"](spark, sf_dir).collect()}
+    for doc_id, text in texts.items():
+        spans, r = naive_personal(text), rows[doc_id]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        n = Counter(s[0] for s in spans)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [n[k] for k in pii.KINDS]
+
+
+def test_odd_rows(odd_docs, no_docs):
+    for find, digest in ((secrets.find_secrets, secrets.secrets_digest),
+                         (pii.find_personal_data, pii.personal_data_digest)):
+        rows = digest(find(odd_docs)).collect()
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd_docs.collect())
+        assert digest(find(no_docs)).count() == 0
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, 'x token = "abcdef123456" y', 5), (2, "clean", 6), (3, None, 7)],
+                                 "doc_id bigint, text string, clean int")
+    assert {tuple(r) for r in secrets.redact_secrets(docs).collect()} == {
+        (1, 'x [assign removed]" y', 5), (2, "clean", 6), (3, None, 7)}
