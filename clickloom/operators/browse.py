@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.stats import today
-from clickloom.plans.pruning import DATE_COLUMN, utc_date
+from clickloom.plans.pruning import DATE_COLUMN, DAY
 
 RECEIVED_COLUMNS = [
     "id", "ts", "status", "country_code", "traffic_type", "payout", "click_id", "network", "ip_address",
@@ -17,13 +19,11 @@ SENT_COLUMNS = [
 ]
 
 
-def page_size(limit: int, default: int = 50, most: int = 200) -> int:
-    """A limit outside its range gives the default, not the nearest bound."""
-    return limit if 1 <= limit <= most else default
-
-
-def clamp(limit: int, most: int) -> int:
-    return max(1, min(most, limit))
+def page_size(limit: int, most: int | None = None) -> int:
+    """The limit itself. A ceiling exists only where the caller sets one; a limit outside is an error, never changed."""
+    if limit < 1 or most is not None and limit > most:
+        raise ValueError(f"limit must be from 1 to {most or 'any number'}: {limit}")
+    return limit
 
 
 def page(df: DataFrame, limit: int, offset: int, as_of: int) -> DataFrame:
@@ -41,7 +41,7 @@ def page_info(df: DataFrame, limit: int, offset: int, as_of: int) -> DataFrame:
 def recent_postbacks(df: DataFrame, limit: int = 20, ties: tuple[str, ...] = ("id",)) -> DataFrame:
     columns = [c for c in SENT_COLUMNS if c in df.columns]
     ordered = df.orderBy(F.desc("ts"), *[F.desc(c) for c in ties])
-    return ordered.limit(clamp(limit, 100)).select(*columns)
+    return ordered.limit(page_size(limit)).select(*columns)
 
 
 def recent_received(df: DataFrame, limit: int = 50) -> DataFrame:
@@ -51,16 +51,16 @@ def recent_received(df: DataFrame, limit: int = 50) -> DataFrame:
 
 def postbacks_by_status(df: DataFrame, success: bool, limit: int = 20, ties: tuple[str, ...] = ("id",)) -> DataFrame:
     kept = df.where(F.col("success") == success)
-    return kept.orderBy(F.desc("ts"), *[F.desc(c) for c in ties]).limit(clamp(limit, 100))
+    return kept.orderBy(F.desc("ts"), *[F.desc(c) for c in ties]).limit(page_size(limit))
 
 
 def traffic_by_country(df: DataFrame, country: str, limit: int = 50) -> DataFrame:
-    return df.where(F.col("country_code") == country.upper()).orderBy(F.desc("id")).limit(clamp(limit, 200))
+    return df.where(F.col("country_code") == country.upper()).orderBy(F.desc("id")).limit(page_size(limit))
 
 
 def traffic_by_decision(df: DataFrame, decision: str, limit: int = 50) -> DataFrame:
     kept = df.where(F.col("decision") == decision if decision in ("A", "B") else F.lit(False))
-    return kept.orderBy(F.desc("id")).limit(clamp(limit, 200))
+    return kept.orderBy(F.desc("id")).limit(page_size(limit))
 
 
 def search(df: DataFrame, term: str) -> DataFrame:
@@ -79,9 +79,12 @@ def filter_traffic(
     """Rows of a country and of UTC dates, both inclusive. A dated table is pruned to those partitions."""
     if country:
         df = df.where(F.col("country_code") == country.upper())
-    day = F.col(DATE_COLUMN) if DATE_COLUMN in df.columns else utc_date(F.col("ts"))
-    if date_from:
-        df = df.where(day >= F.lit(date_from).cast("date"))
-    if date_to:
-        df = df.where(day <= F.lit(date_to).cast("date"))
+    for text, after in ((date_from, False), (date_to, True)):
+        if text:
+            # The plain bound on the second reaches the scan; the date bound prunes partitions.
+            day = date.fromisoformat(text)
+            second = (day - date(1970, 1, 1)).days * DAY
+            df = df.where(F.col("ts") < second + DAY if after else F.col("ts") >= second)
+            if DATE_COLUMN in df.columns:
+                df = df.where(F.col(DATE_COLUMN) <= day if after else F.col(DATE_COLUMN) >= day)
     return df

@@ -14,6 +14,7 @@ from clickloom.functions.net import is_public
 from clickloom.functions.text import trimmed
 from clickloom.functions.web import fallback_url, render_url, valid_url_text
 from clickloom.plans.barrier import computed_once
+from clickloom.plans.barrier import computed_once
 from clickloom.plans.lookup import lookup_join
 from clickloom.plans.pruning import utc_date
 
@@ -103,7 +104,7 @@ def outgoing(decisions: DataFrame, settings: Settings) -> DataFrame:
     sent = decisions.where((F.col("decision") == "A") & is_country(F.col("routed_country")))
     rows = sent.select(
         "id", "ts", F.col("routed_country").alias("country_code"), F.col("device").alias("traffic_type"),
-        payout.alias("payout"), url.alias("postback_url"))
+        payout.alias("payout"), computed_once(url).alias("postback_url"))
     return rows.where("postback_url is not null")
 
 

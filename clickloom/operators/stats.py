@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 from clickloom.functions.geo import UNKNOWN_COUNTRY
 from clickloom.plans.pruning import DAY, midnight, since, utc_date
 
-MAX_PERIODS = 365
-DEFAULT_DAYS = 30
 WEEK_SHIFT = 25200
 BYTES_PER_LOG = 500
 
 
-def clean_days(days: int) -> int:
-    return days if 1 <= days <= 365 else DEFAULT_DAYS
-
-
 def stats_cutoff(days: int, as_of: int) -> int:
-    return as_of - clean_days(days) * DAY
+    """Any positive number of days is taken as it is."""
+    if days < 1:
+        raise ValueError(f"days must be positive: {days}")
+    return as_of - days * DAY
 
 
 def period_start(ts: Column, view: str) -> Column:
@@ -32,11 +29,13 @@ def period_start(ts: Column, view: str) -> Column:
     return F.date_sub(day, F.weekday(day))
 
 
-def payout_stats(df: DataFrame, days: int, as_of: int, view: str = "daily") -> DataFrame:
+def payout_stats(
+    df: DataFrame, days: int, as_of: int, view: str = "daily", max_periods: int | None = None
+) -> DataFrame:
     """Count, payout sum, mean, minimum, maximum and distinct types, countries and networks per period.
 
     Rows are first folded to one per period and combination, so that the three exact distinct counts expand those
-    few rows and not the table.
+    few rows and not the table. All periods in range are returned, newest first; ``max_periods`` keeps the newest ones.
     """
     recent = since(df, stats_cutoff(days, as_of)).withColumn("date", period_start(F.col("ts"), view))
     folded = recent.groupBy("date", "traffic_type", "country_code", "network").agg(
@@ -55,7 +54,8 @@ def payout_stats(df: DataFrame, days: int, as_of: int, view: str = "daily") -> D
     )
     if view == "weekly":
         stats = stats.withColumn("week_end", F.date_add("date", 6))
-    return stats.orderBy(F.desc("date")).limit(MAX_PERIODS)
+    ordered = stats.orderBy(F.desc("date"))
+    return ordered if max_periods is None else ordered.limit(max_periods)
 
 
 def payout_summary(stats: DataFrame) -> DataFrame:

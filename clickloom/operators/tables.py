@@ -1,11 +1,12 @@
 """Sinks, keyed changes, deletion and retention.
 
-Parquet tables have no row updates, so a change returns the new content as a DataFrame. Date-partitioned tables are
-then rewritten one partition at a time, others as a new snapshot directory.
+Parquet tables have no row updates. A change gives the rows that stay and the rows that go; ``apply_split`` then makes
+a date-partitioned table on disk agree, touching only the dates that lose rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -32,6 +33,9 @@ RETENTION_DAYS = (
 )
 
 
+BATCH_COLUMN = "batch_id"
+
+
 class Split(NamedTuple):
     """Rows that stay and rows that go. Count the second lazily; nothing runs before that."""
 
@@ -79,25 +83,34 @@ def received_rows(df: DataFrame) -> DataFrame:
     return rows.withColumn("payout", F.col("payout").cast("decimal(10,2)"))
 
 
-def append_dated(df: DataFrame, path: str, ts: str = "ts", compression: str = "zstd") -> None:
-    """Append to a table partitioned by UTC date.
+def append_dated(
+    df: DataFrame, path: str, ts: str = "ts", compression: str = "zstd", batch_id: str | None = None, dated: bool = True
+) -> None:
+    """Append to a table partitioned by UTC date (not so if ``dated`` is false: for few rows over very many dates).
 
-    Rows of a date are gathered by a rebalance, which splits a date that holds most rows over several files.
+    Rows of a date are gathered by a rebalance, which splits a date that holds most rows over several files. With a
+    ``batch_id`` the table is also partitioned by it, and a job that runs again with the same id replaces its own rows.
     """
-    dated = with_date(df, ts).hint("rebalance", DATE_COLUMN)
-    dated.write.mode("append").option("compression", compression).partitionBy(DATE_COLUMN).parquet(path)
+    parts = [DATE_COLUMN] * dated + [BATCH_COLUMN] * (batch_id is not None)
+    rows = with_date(df, ts).hint("rebalance", DATE_COLUMN) if dated else df
+    if batch_id is None:
+        writer = rows.write.mode("append")
+    else:
+        rows = rows.withColumn(BATCH_COLUMN, F.lit(batch_id))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("compression", compression).partitionBy(*parts).parquet(path)
 
 
-def append_traffic(df: DataFrame, path: str) -> None:
-    append_dated(traffic_rows(df), path)
+def append_traffic(df: DataFrame, path: str, batch_id: str | None = None, dated: bool = True) -> None:
+    append_dated(traffic_rows(df), path, batch_id=batch_id, dated=dated)
 
 
-def append_postback_log(df: DataFrame, path: str) -> None:
-    append_dated(postback_log_rows(df), path)
+def append_postback_log(df: DataFrame, path: str, batch_id: str | None = None, dated: bool = True) -> None:
+    append_dated(postback_log_rows(df), path, batch_id=batch_id, dated=dated)
 
 
-def append_postbacks(df: DataFrame, path: str) -> None:
-    append_dated(received_rows(df), path)
+def append_postbacks(df: DataFrame, path: str, batch_id: str | None = None, dated: bool = True) -> None:
+    append_dated(received_rows(df), path, batch_id=batch_id, dated=dated)
 
 
 def replace_dates(df: DataFrame, path: str) -> None:
@@ -106,6 +119,37 @@ def replace_dates(df: DataFrame, path: str) -> None:
     writer.partitionBy(DATE_COLUMN).parquet(path)
 
 
+def apply_split(split: Split, path: str) -> int:
+    """Make the dated table at ``path``, from which the split was read, hold the kept rows only.
+
+    Dates that lose rows are written anew beside the table first; then each is deleted and, where rows remain, put in
+    place by a rename. Dates that lose none are not touched, dates that lose all are only deleted. Returns the number of
+    dates changed. A job that breaks off between two dates is repeated: a date already changed loses nothing more.
+    """
+    spark = split.kept.sparkSession
+    dates = [r[0] for r in split.removed.select(DATE_COLUMN).distinct().collect()]  # one value per date
+    if not dates:
+        return 0
+    known = [d for d in dates if d is not None]
+    hit = F.col(DATE_COLUMN).isin(known) if known else F.lit(False)
+    if None in dates:
+        hit = hit | F.col(DATE_COLUMN).isNull()
+    parts = [c for c in (DATE_COLUMN, BATCH_COLUMN) if c in split.kept.columns]
+    fresh = f"{path.rstrip('/')}_next_{uuid.uuid4().hex[:12]}"
+    split.kept.where(hit).hint("rebalance", DATE_COLUMN).write.option("compression", "zstd").partitionBy(*parts).parquet(fresh)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in dates:
+        name = f"{DATE_COLUMN}={d or '__HIVE_DEFAULT_PARTITION__'}"
+        old, new = folder(path, name), folder(fresh, name)
+        files.delete(old, True)
+        if files.exists(new):
+            files.rename(new, old)
+    files.delete(folder(fresh), True)
+    spark.catalog.refreshByPath(path)
+    return len(dates)
+
+
 def to_json_rows(df: DataFrame, column: str = "json", escape_slashes: bool = True) -> DataFrame:
     """Rows as JSON objects with nulls kept and Unicode left as it is."""
     text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
@@ -178,15 +222,21 @@ def clear(df: DataFrame) -> Split:
 
 
 def retention_cutoff(days: int, as_of: int) -> int:
-    return as_of - max(1, min(365, days)) * DAY
+    """Any positive number of days is taken as it is."""
+    if days < 1:
+        raise ValueError(f"days must be positive: {days}")
+    return as_of - days * DAY
 
 
 def _split_at(df: DataFrame, ts: str, cutoff: int) -> Split:
-    return Split(since(df, cutoff, ts), df.where(F.col(ts) < cutoff))
+    old = df.where(F.col(ts) < cutoff)
+    if DATE_COLUMN in df.columns:
+        old = old.where(F.col(DATE_COLUMN) <= F.date_from_unix_date(F.lit(cutoff // DAY)))
+    return Split(since(df, cutoff, ts), old)
 
 
 def apply_retention(df: DataFrame, ts: str, days: int, as_of: int) -> Split:
-    """Keep the last days (1 to 365). On a dated table the kept side reads only their partitions."""
+    """Keep the last days. On a dated table both sides read only their own partitions."""
     return _split_at(df, ts, retention_cutoff(days, as_of))
 
 

@@ -12,7 +12,7 @@ from clickloom.functions import device as dev
 from clickloom.functions import geo, net, numbers, secure, text, web
 from clickloom.operators import attribution, browse, quality, routing, security, stats, tables
 from clickloom.sources import derived, params, postbacks, requests, service_log
-from clickloom.session import tune
+from clickloom.plans.workspace import work_folder
 from clickloom.sources.derived import read
 from clickloom.streaming import jobs, sinks
 
@@ -49,10 +49,7 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _register(f: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(tune(spark), sf_dir)
-
-    _QUERIES[f.__name__] = run
+    _QUERIES[f.__name__] = f
     return f
 
 
@@ -91,6 +88,25 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.decide(derived.requests(spark, sf_dir), SETTINGS, _reputation(spark, sf_dir))
 
 
+def _store(df: DataFrame, ts: str = "ts", dated: bool = True) -> str:
+    """Folder of a table that holds the rows."""
+    path = f"{work_folder(df.sparkSession, 'stored')}/table"
+    tables.append_dated(df, path, ts, batch_id="first", dated=dated)
+    return path
+
+
+def _load(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(f"{_ddl(like)}, dt date, batch_id string").parquet(path)
+
+
+def _after(df: DataFrame, split, ts: str = "ts") -> DataFrame:
+    """The rows of a stored table, read back after a split of it was applied."""
+    path = _store(df, ts)
+    stored = _load(df.sparkSession, path, df)
+    tables.apply_split(split(stored), path)
+    return _load(df.sparkSession, path, df).select(*df.columns)
+
+
 # --- sources -------------------------------------------------------------------------------------------------------
 
 
@@ -104,6 +120,7 @@ def scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     out = None
     for name, (df, ts) in found.items():
+        df = _load(spark, _store(df, ts, dated=not name.startswith("postback")), df)
         line = df.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
         line = line.select(F.lit(name).alias("name"), "*")
         out = line if out is None else out.unionByName(line)
@@ -235,12 +252,25 @@ def scan_service_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Database connection failed: refused"),
         F.concat(F.lit("note "), F.col("id").cast("string")))
     lines = p.select(F.concat(F.lit("["), stamp, F.lit(" UTC] "), message).alias("value"))
-    return service_log.parse_service_log(lines)
+    path = f"{work_folder(spark, 'service-log')}/log"
+    lines.write.text(path)
+    return service_log.scan_service_log(spark, path)
 
 
 # --- sinks and table changes ---------------------------------------------------------------------------------------
 
 
+def _appended(append, rows: DataFrame, like: DataFrame, dated: bool = True) -> DataFrame:
+    """The stored rows after an append that ran twice: the second run replaces its own batch.
+
+    The order tables have few rows on each of some thousand dates, so they are stored undated.
+    """
+    path = f"{work_folder(rows.sparkSession, 'appended')}/table"
+    for _ in range(2):
+        append(rows, path, batch_id="first", dated=dated)
+    return _load(rows.sparkSession, path, like).select(*like.columns)
+
+
 @_register
 def append_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = derived.requests(spark, sf_dir)
@@ -248,7 +278,7 @@ def append_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "ts", F.when(F.col("id") % 10 == 6, "").otherwise(F.col("ip")).alias("ip"),
         F.concat(F.lit("  "), F.col("user_agent"), F.lit("\t")).alias("ua"), "click_id", "country_code", "user_lp",
         F.when(F.col("id") % 10 == 5, "C").when(F.col("id") % 2 == 0, "A").otherwise("B").alias("decision"))
-    return tables.traffic_rows(rows)
+    return _appended(tables.append_traffic, rows, tables.traffic_rows(rows))
 
 
 @_register
@@ -259,7 +289,7 @@ def append_postback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://track.example.com/?p="), F.col("part_key").cast("string")).alias("postback_url"),
         "response_code", F.when(F.col("success"), " ok ").alias("response_body"),
         F.when(F.col("response_code") == 200, True).alias("success"))
-    return _doubles(tables.postback_log_rows(rows), "payout")
+    return _doubles(_appended(tables.append_postback_log, rows, tables.postback_log_rows(rows), False), "payout")
 
 
 @_register
@@ -270,7 +300,8 @@ def append_postbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("status"), F.col("status"), F.lit("payout"), F.substring_index(_postback_text("payout"), ".", -1),
         F.lit("country"), F.col("country_code"), F.lit("traffic_type"), F.col("traffic_type"),
         F.lit("click_id"), F.col("click_id"))
-    stored = tables.received_rows(postbacks.ingest_postbacks(p.select("id", "ts", given.alias("params")), "tracking"))
+    rows = postbacks.ingest_postbacks(p.select("id", "ts", given.alias("params")), "tracking")
+    stored = _appended(tables.append_postbacks, rows, tables.received_rows(rows), False)
     return _doubles(stored.select("id", "ts", "status", "country_code", "traffic_type", "payout", "click_id", "network"),
                     "payout")
 
@@ -299,24 +330,28 @@ def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def delete_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = read(spark, sf_dir, "events").where("user_id % 5 = 0").select("event_id")
-    return tables.delete_by_ids(derived.logs(spark, sf_dir), ids).kept
+    return _after(derived.logs(spark, sf_dir), lambda stored: tables.delete_by_ids(stored, ids))
 
 
 @_register
 def clear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.clear(derived.logs(spark, sf_dir)).removed_count()
+    logs = derived.logs(spark, sf_dir)
+    path = _store(logs)
+    removed = tables.clear(_load(spark, path, logs)).removed_count().first()[0]
+    tables.apply_split(tables.clear(_load(spark, path, logs)), path)
+    left = _load(spark, path, logs).agg(F.count(F.lit(1)).alias("left"))
+    return left.select((F.lit(removed) - F.col("left")).alias("removed"))
 
 
 @_register
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cutoff = tables.retention_cutoff(7, EVENTS_NOW)
-    return tables.apply_retention(derived.logs(spark, sf_dir, cutoff), "ts", 7, EVENTS_NOW).kept
+    logs = derived.logs(spark, sf_dir)
+    return _after(logs, lambda stored: tables.apply_retention(stored, "ts", 7, EVENTS_NOW))
 
 
 @_register
 def retention_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cutoff = stats.midnight(EVENTS_NOON)
-    return tables.keep_today(derived.logs(spark, sf_dir, cutoff), EVENTS_NOON).kept
+    return _after(derived.logs(spark, sf_dir), lambda stored: tables.keep_today(stored, EVENTS_NOON))
 
 
 @_register
@@ -332,10 +367,15 @@ def retention_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         "audit_log": logs.select("id", F.col("ts").alias("created_at")),
     }
     columns = {name: ts for name, ts, _ in tables.RETENTION_DAYS}
-    splits = tables.apply_policy(given, EVENTS_NOON)
+    # Tables of one month go through storage. The order tables have some thousand dates, which would go one by one.
+    event_tables = {"postback_security_log", "failed_login_attempts", "traffic_logs"}
     out = None
-    for name, split in splits.items():
-        kept = split.kept.agg(
+    for name, df in given.items():
+        def split(t, name=name):
+            return tables.apply_policy({name: t}, EVENTS_NOON)[name]
+
+        stored = _after(df, split, columns[name]) if name in event_tables else split(df).kept
+        kept = stored.agg(
             F.lit(name).alias("name"), F.count(F.lit(1)).alias("kept"), F.min(columns[name]).alias("oldest"))
         out = kept if out is None else out.unionByName(kept)
     return out
@@ -842,10 +882,14 @@ def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def rate_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final windows only: those the watermark (10 minutes behind the newest request) has passed."""
+    """All windows, each as its last micro-batch reported it."""
     source = derived.squeezed_from(derived.read_stream(spark, sf_dir, "events"))
     out = jobs.rate_windows_stream(source.withColumn("endpoint", F.lit("/decision")))
-    return spark.read.schema(out.schema).parquet(sinks.run_available(out, "rate-windows"))
+    rows = spark.read.schema(f"{_ddl(out)}, batch_id bigint").parquet(
+        sinks.run_available(out, "rate-windows", "update"))
+    key = ["ip", "endpoint", "window_start"]
+    last = F.max_by(F.struct(*[c for c in out.columns if c not in key]), "batch_id").alias("last")
+    return rows.groupBy(*key).agg(last).select(*key, "last.*")
 
 
 @_register

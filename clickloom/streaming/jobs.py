@@ -30,7 +30,10 @@ def rate_windows_stream(
     requests: DataFrame, max_requests: int = RATE_LIMIT_MAX, window: int = RATE_LIMIT_WINDOW,
     watermark: str = "10 minutes",
 ) -> DataFrame:
-    """Clock-aligned attempts per address and endpoint; a window is final once the watermark has passed it."""
+    """Clock-aligned attempts per address and endpoint, for update mode.
+
+    Every window is reported, again whenever it grows; its last report is final once the watermark has passed it.
+    """
     timed = requests.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", watermark)
     slot = F.window("at", f"{window} seconds")
     counts = timed.groupBy("ip", "endpoint", slot).agg(F.count(F.lit(1)).alias("attempts"))

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickloom.plans.workspace import work_folder
 from clickloom.streaming.jobs import STATE_STORE
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """New folder under the cluster's shared one (``spark.checkpoint.dir``); a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clickloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @contextmanager
 def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in values}

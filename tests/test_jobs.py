@@ -211,7 +211,10 @@ def test_country_stats_counts_everything_not_a(spark):
 
 
 def test_paging_and_search(spark):
-    assert [browse.page_size(x) for x in (0, 1, 200, 201, -3)] == [50, 1, 200, 50, 50]
+    assert [browse.page_size(x) for x in (1, 200, 1000)] == [1, 200, 1000]
+    for limit, most in ((0, None), (-3, None), (201, 200)):
+        with pytest.raises(ValueError):
+            browse.page_size(limit, most)
     df = spark.createDataFrame([("Abc%", "US", None, "x"), (None, None, "1.2.3.4", "abc")],
                                "click_id string, country_code string, ip string, user_lp string")
     assert browse.search(df, "a").isEmpty()
@@ -235,3 +238,16 @@ def test_quality(spark):
     assert sorted(map(tuple, quality.quality_report(df, rules).collect())) == [("v_set", 2, 1), ("v_small", 1, 2)]
     assert sorted(len(r.failed_rules) for r in quality.failing_rows(df, rules).collect()) == [1, 2]
     assert [tuple(r) for r in quality.duplicate_keys(df, ["k"]).collect()] == [("a", 2)]
+
+
+def test_payouts_cover_every_period(spark):
+    as_of = 20_000 * 86400 + 43_200
+    rows = spark.range(365 * 24 + 12).selectExpr(
+        f"{as_of} - id * 3600 AS ts", "'WAP' AS traffic_type", "'US' AS country_code", "'n' AS network",
+        "CAST(1 AS decimal(10,2)) AS payout").where(f"ts >= {as_of - 365 * 86400}")
+    daily = stats.payout_stats(rows, 365, as_of)
+    assert daily.count() == 366 and daily.agg(F.sum("total_postbacks")).first()[0] == rows.count()
+    assert stats.payout_summary(daily).first()["total_postbacks"] == rows.count()
+    assert stats.payout_stats(rows, 365, as_of, max_periods=3).count() == 3
+    with pytest.raises(ValueError):
+        stats.payout_stats(rows, 0, as_of)

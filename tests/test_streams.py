@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import security, stats
 from clickloom.operators.routing import decide
+from clickloom.plans import workspace
 from clickloom.plans.keyed import latest_per_key
 from clickloom.registry import SETTINGS
 from clickloom.sources import derived
@@ -84,12 +85,29 @@ def test_latest(spark, received, tmp_path):
     _same(final.select("click_id", "l.*"), exact)
 
 
-def test_shared_folder_is_used(tmp_path):
+def test_every_window_is_reported(spark, sf_dir, tmp_path):
+    requests = derived.squeezed(spark, sf_dir).withColumn("endpoint", F.lit("/x"))
+    out = jobs.rate_windows_stream(_replay(spark, requests, f"{tmp_path}/in"), 10)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
+    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(sinks.run_available(out, "t", "update"))
+    key = ["ip", "endpoint", "window_start"]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in out.columns if c not in key]), "batch_id").alias("l"))
+    _same(last.select(*key, "l.*"), security.rate_windows(requests, 10))
+
+
+def test_shared_folder_is_used(spark):
+    folder = workspace.work_folder(spark, "x")
+    assert folder.startswith((spark.conf.get("spark.checkpoint.dir", None) or "/").rstrip("/"))
+
     class Conf:
+        def __init__(self, master):
+            self.master = master
+
         def get(self, key, default=None):
-            return {"spark.checkpoint.dir": f"{tmp_path}/"}.get(key, default)
+            return {"spark.master": self.master}.get(key, default)
 
     class Session:
-        conf = Conf()
+        conf = Conf("yarn")
 
-    assert sinks.work_folder(Session(), "x").startswith(f"{tmp_path}/x-")
+    with pytest.raises(ValueError):
+        workspace.work_folder(Session(), "x")

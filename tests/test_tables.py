@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import tables
@@ -94,7 +95,7 @@ def test_delete(spark):
 
 def test_retention_partitions_the_input(spark):
     df = spark.createDataFrame([(i * DAY // 2,) for i in range(40)], "ts bigint")
-    for days, kept in ((0, 3), (1, 3), (5, 11), (9999, 40)):
+    for days, kept in ((1, 3), (5, 11), (9999, 40)):
         split = tables.apply_retention(df, "ts", days, 39 * DAY // 2)
         assert (split.kept.count(), split.removed.count()) == (kept, 40 - kept)
     today = tables.keep_today(df, 3 * DAY + 5)
@@ -112,3 +113,42 @@ def test_json(spark, tmp_path):
     assert tables.to_json_rows(df).first().json == '{"a":"é\\/","b":null}'
     tables.json_export(df, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").first().a == "é/"
+
+
+def _files(path):
+    return sorted(p.relative_to(path).parent.as_posix() for p in path.rglob("*.parquet"))
+
+
+def test_splits_change_the_stored_table(spark, tmp_path):
+    day = 86400
+    rows = spark.createDataFrame([(i, 19_700 * day + (i % 5) * day + i) for i in range(50)], "id bigint, ts bigint")
+    path = tmp_path / "t"
+    tables.append_dated(rows, str(path))
+
+    def load():
+        return spark.read.schema("id bigint, ts bigint, dt date").parquet(str(path))
+
+    before = set(path.rglob("*.parquet"))
+    assert tables.apply_split(tables.delete_by_ids(load(), [3, 8]), str(path)) == 1
+    assert load().count() == 48 and not load().where("id in (3, 8)").count()
+    assert len(before & set(path.rglob("*.parquet"))) == 4  # the other dates keep their files
+    as_of = 19_704 * day
+    assert tables.apply_split(tables.apply_retention(load(), "ts", 2, as_of), str(path)) == 2
+    assert load().agg({"ts": "min"}).first()[0] >= as_of - 2 * day
+    assert len(set(_files(path))) == 3  # emptied dates are gone from disk
+    assert tables.apply_split(tables.clear(load()), str(path)) == 3
+    assert load().count() == 0 and _files(path) == []
+    assert tables.apply_split(tables.clear(load()), str(path)) == 0
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5), (2, 90_000)], "id bigint, ts bigint")
+    for batch in ("a", "a", "b"):
+        tables.append_dated(rows, str(tmp_path / "t"), batch_id=batch)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_days_are_taken_as_given():
+    assert tables.retention_cutoff(400, 0) == -400 * 86400
+    with pytest.raises(ValueError):
+        tables.retention_cutoff(0, 0)
