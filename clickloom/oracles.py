@@ -411,12 +411,13 @@ SELECT id, ts, routed_country AS country_code, device AS traffic_type, CAST(1.5
 FROM v_decided WHERE decision = 'A' AND routed_country <> ''""",
         "match_rules": """
 WITH rules(rule_id, rule_name, place, kind, page, redirect_url, priority) AS (VALUES
-  (1, 'US Desktop', 'US', 'desktop', NULL, 'https://example.com/us-desktop', 10),
-  (2, 'US Mobile', 'US', 'mobile', NULL, 'https://example.com/us-mobile', 10),
-  (3, 'Global Desktop', 'XX', 'desktop', NULL, 'https://example.com/global', 1),
-  (4, 'Global Mobile', 'XX', 'mobile', NULL, 'https://example.com/global', 1),
-  (5, 'US Mobile lp2', 'US', 'mobile', 'lp2', 'https://example.com/us-lp2', 20),
-  (7, 'Global Mobile lp3', 'XX', 'mobile', 'lp3', 'https://example.com/lp3', 1)),
+  (1, 'Plain desktop', 'US', 'desktop', NULL, 'https://one.example.net/a', 5),
+  (2, 'Plain mobile', 'US', 'mobile', NULL, 'https://one.example.net/b', 5),
+  (3, 'Anywhere, large screens', 'XX', 'desktop', NULL, 'https://two.example.net/', 2),
+  (4, 'Anywhere, small screens', 'XX', 'mobile', NULL, 'https://two.example.net/m', 2),
+  (5, 'Landing page two', 'US', 'mobile', 'lp2', 'https://three.example.net/lp2', 20),
+  (7, 'Landing page three', 'XX', 'mobile', 'lp3', 'https://four.example.net/lp3', 2),
+  (8, 'Germany, large screens', 'DE', 'desktop', NULL, 'https://four.example.net/de', 7)),
 clicks AS (SELECT id, country_code, CASE id % 8 WHEN 2 THEN 'desktop' WHEN 3 THEN 'tablet' WHEN 4 THEN 'bot'
   WHEN 6 THEN 'desktop' WHEN 7 THEN 'desktop' ELSE 'mobile' END AS device_type, user_lp FROM v_requests)
 SELECT c.id, c.country_code, c.device_type, c.user_lp, CAST(r.rule_id AS BIGINT) AS rule_id, r.rule_name, r.redirect_url
