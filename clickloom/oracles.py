@@ -492,7 +492,7 @@ UNION ALL SELECT 'decision', d.decision, CAST(count(l.id) AS VARCHAR) FROM (VALU
   LEFT JOIN v_logs l ON l.decision = d.decision AND l.ts >= {_DAY_START} GROUP BY d.decision""",
         "recent_traffic": f"SELECT * FROM v_logs WHERE ts >= {_DAY_START} ORDER BY id DESC LIMIT 30 OFFSET 10",
         "page_info": f"""
-SELECT CAST(50 AS BIGINT) AS "limit", CAST(0 AS BIGINT) AS "offset", count(*) AS total, 50 < count(*) AS has_more
+SELECT CAST(500 AS BIGINT) AS "limit", CAST(0 AS BIGINT) AS "offset", count(*) AS total, 500 < count(*) AS has_more
 FROM v_logs WHERE ts >= {_DAY_START}""",
         "recent_postbacks": """
 SELECT id, ts, country_code, traffic_type, CAST(payout AS DOUBLE) AS payout,
