@@ -1,14 +1,16 @@
 """Benchmark items in documents, also with other numbers, names and units.
 
 Texts become templates: numbers, names and units are replaced by typed placeholders. Windows of template words are
-joined by hash. Matching windows of a document and an item on the same line (document position less item position)
-belong together; they count only if their placeholders agree: what stands for one value of the item is one value in
-the document, and the other way round. An item is in a document when enough of its words are covered.
+joined by hash. Matching windows of a document and an item on neighbouring lines (document position less item position)
+belong together, so that words put in or left out do not split a copy; they count only if their placeholders agree:
+what stands for one value of the item is one value in the document, and the other way round. An item is in a document
+when enough of its words are covered.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,15 +44,23 @@ SHIPPED_WINDOWS = 2_000_000
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """``window`` words per window, shorter for shorter items down to ``least``; ``plain`` of them no placeholders.
+    """``window`` words per window, a third of shorter items down to ``least``; ``plain`` of them no placeholders.
 
-    An item counts as present when at least ``percent`` of its words are covered.
+    An item counts as present when at least ``percent`` of its words are covered, and no fewer than ``window`` words or
+    two thirds of it. Lines of one copy are up to an item's length over ``drift`` apart.
     """
 
     window: int = 8
     least: int = 5
     plain: int = 4
     percent: int = 50
+    drift: int = 4
+
+    def size(self, words: int) -> int:
+        return max(self.least, min(self.window, words // 3))
+
+    def enough(self, words: int) -> int:
+        return max(-(-words * self.percent // 100), min(self.window, -(-words * 2 // 3)))
 
 
 def _code(token: str, low: str) -> int:
@@ -114,19 +124,21 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def window_hashes(words: np.ndarray, size: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows that count: no unknown word and enough plain ones."""
-    if len(words) < size:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+def window_hashes(words: np.ndarray, sizes: list[int], plain: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, positions and hashes of the windows that count: no unknown word and enough plain ones. Sizes ascend."""
+    mixed = _mixed(words)
     unknown = np.concatenate([[0], np.cumsum(words == 0)])
-    places = np.flatnonzero(unknown[size:] == unknown[:-size])
-    if len(places):
-        slots = np.concatenate([[0], np.cumsum(words >> _WORD_BITS > 0)])
-        places = places[size - (slots[places + size] - slots[places]) >= plain]
-    hashes = np.zeros(len(places), dtype=np.uint64)
-    for k in range(size if len(places) else 0):
-        hashes = hashes * np.uint64(0x100000001B3) + _mixed(words[places + k])
-    return places, _mixed(hashes + np.uint64(size)).view(np.int64)
+    slots = np.concatenate([[0], np.cumsum(words >> _WORD_BITS > 0)])
+    places, hashes, done = np.arange(len(words)), np.zeros(len(words), dtype=np.uint64), 0
+    for size in sizes:
+        whole = places[:np.searchsorted(places, len(words) - size, side="right")]
+        whole = np.flatnonzero(unknown[whole + size] == unknown[whole])
+        places, hashes = places[whole], hashes[whole]
+        for k in range(done, size if len(places) else done):
+            hashes = hashes * np.uint64(0x100000001B3) + mixed[places + k]
+        done = size
+        counted = size - (slots[places + size] - slots[places]) >= plain
+        yield size, places[counted], _mixed(hashes[counted] + np.uint64(size)).view(np.int64)
 
 
 def _value(token: str) -> str:
@@ -146,13 +158,12 @@ def _item_rows(rules: TemplateRules) -> Callable:
             rows = []
             for item, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words, tokens = templates.read(text)
-                size = min(rules.window, len(words))
-                if size < rules.least:
+                if len(words) < rules.least:
                     continue
-                places, hashes = window_hashes(words, size, rules.plain)
                 key = xxhash.xxh3_128_hexdigest(words.tobytes())
-                rows += [(item, key, len(words), size, p, h, _slots(words, tokens, p, size))
-                         for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+                for size, places, hashes in window_hashes(words, [rules.size(len(words))], rules.plain):
+                    rows += [(item, key, len(words), size, p, h, _slots(words, tokens, p, size))
+                             for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
             yield _batch(rows, {"item_id": pa.int64(), "template": pa.string(), "item_tokens": pa.int64(),
                                 "size": pa.int32(), "item_at": pa.int64(), "hash": pa.int64(),
                                 "item_slots": pa.list_(pa.string())})
@@ -186,8 +197,7 @@ def _doc_rows(rules: TemplateRules, sizes: list[int], filters) -> Callable:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words, tokens = templates.read(text)
-                for size in sizes:
-                    places, own = window_hashes(words, size, rules.plain)
+                for size, places, own in window_hashes(words, sizes, rules.plain):
                     if wanted is not None and len(own):
                         k = np.searchsorted(wanted, own)
                         hit = wanted[np.minimum(k, len(wanted) - 1)] == own
@@ -220,7 +230,7 @@ def find_items(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
         F.struct("item_id", "item_tokens", "size", "hash", "item_slots"),
         F.struct(F.col("item_id").isNull(), "item_id", "item_slots")).alias("one"))
     windows = staged(first.select("template", "item_at", "one.*"), "templates")
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most rules.window
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most rules.window
     filters = None
     if windows.count() <= shipped_windows:
         hashes = windows.select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
@@ -236,29 +246,58 @@ def find_items(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     return _judged(pairs, rules)
 
 
+Window = tuple[int, int, int, list[str], list[str]]
+
+
+def _judge(rules: TemplateRules, item_tokens: int, windows: list[Window]) -> tuple[int, int, int] | None:
+    """Covered words, values and changed values of matching windows (item and document place, size, both slots)."""
+    on_line = Counter(at - item_at for item_at, at, *_ in windows)
+    main = max(on_line, key=lambda line: (on_line[line], -line))
+    nearest: dict[int, int] = {}  # one place in the document for each of the item
+    for item_at, at, *_ in sorted(windows, key=lambda w: (-on_line[w[1] - w[0]], abs(w[1] - w[0] - main), w[1])):
+        nearest.setdefault(item_at, at)
+    kept = [w for w in windows if nearest[w[0]] == w[1]]
+    values = {pair for w in kept for pair in _values(w)}
+    if len({i for i, _ in values}) < len(values) or len({d for _, d in values}) < len(values):
+        return None
+    covered = min(len({at + k for at in {w[side] for w in kept} for k in range(kept[0][2])}) for side in (0, 1))
+    if covered < rules.enough(item_tokens):
+        return None
+    return covered, len(values), sum(i != d for i, d in values)
+
+
+def _values(window: Window) -> list[tuple[str, str]]:
+    """Type and value of the placeholders in the item, and in the document."""
+    return [(i.split(" ", 1)[1], d.split(" ", 1)[1]) for i, d in zip(window[3], window[4], strict=True)]
+
+
+_JUDGED = {"doc_id": pa.int64(), "template": pa.string(), "item_id": pa.int64(), "item_tokens": pa.int64(),
+           "covered": pa.int64(), "slots": pa.int64(), "changed": pa.int64()}
+
+
+def _judge_rows(rules: TemplateRules) -> Callable:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches.slices(source):
+            rows = []
+            for r in batch.to_pylist():
+                found = _judge(rules, r["item_tokens"], [tuple(w.values()) for w in r["windows"]])
+                rows += [(r["doc_id"], r["template"], r["item_id"], r["item_tokens"], *found)] if found else []
+            yield _batch(rows, _JUDGED)
+
+    return run
+
+
 def _judged(pairs: DataFrame, rules: TemplateRules) -> DataFrame:
-    """Groups of matching windows on one line of one document and item; their size is bounded by the item's."""
-    line = ["row", "doc_id", "template", F.col("at") - F.col("item_at")]
-    both = F.transform(F.arrays_zip("item_slots", "slots"), lambda s: F.struct(
-        F.split(s["item_slots"], " ", 3).alias("item"), F.split(s["slots"], " ", 3).alias("doc")))
-    values = F.transform(both, lambda s: F.struct(
-        F.concat_ws(" ", s["item"][1], s["item"][2]).alias("item"),
-        F.concat_ws(" ", s["doc"][1], s["doc"][2]).alias("doc")))
-    groups = pairs.groupBy(*line[:3], line[3].alias("line")).agg(
-        F.min("item_id").alias("item_id"), F.first("item_tokens").alias("item_tokens"), F.first("size").alias("size"),
-        F.sort_array(F.collect_set("item_at")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(values))).alias("slots"))
-    covered = F.aggregate(
-        "places", F.struct(F.lit(-1000).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("n")),
-        lambda acc, x: F.struct(x.alias("at"), (acc["n"] + F.least(x - acc["at"], F.col("size"))).alias("n")),
-        lambda acc: acc["n"])
-    n = F.size("slots")
-    agree = (n == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))) & (
-        n == F.size(F.array_distinct(F.transform("slots", lambda s: s["doc"]))))
-    changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
-    judged = groups.where(agree).select(
-        "doc_id", "template", "item_id", "item_tokens", covered.alias("covered"), n.cast("bigint").alias("slots"),
-        changed.cast("bigint").alias("changed")).where(F.col("covered") * 100 >= F.col("item_tokens") * rules.percent)
+    """Groups of matching windows on neighbouring lines of one document and item; their size is bounded by the item's.
+
+    Every line is in two bands of lines, so that lines no further apart than the drift share one.
+    """
+    band = F.floor((F.col("at") - F.col("item_at")) / F.greatest(F.lit(2), F.floor(F.col("item_tokens") / rules.drift)))
+    groups = pairs.withColumn("band", F.explode(F.array(band, band - 1))).groupBy("row", "doc_id", "template", "band").agg(
+        F.min("item_id").alias("item_id"), F.first("item_tokens").alias("item_tokens"),
+        F.collect_set(F.struct("item_at", "at", "size", "item_slots", "slots")).alias("windows"))
+    judged = groups.select("doc_id", "template", "item_id", "item_tokens", "windows").mapInArrow(
+        _judge_rows(rules), ", ".join(f"{c} {'string' if c == 'template' else 'bigint'}" for c in _JUDGED))
     best = F.max_by(F.struct("item_id", "item_tokens", "covered", "slots", "changed"),
                     F.struct("covered", -F.col("changed"), -F.col("slots"))).alias("best")
     return judged.groupBy("doc_id", "template").agg(best).select("doc_id", "best.*")

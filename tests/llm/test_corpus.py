@@ -120,6 +120,26 @@ def test_values_must_agree(spark):
     assert {(r.doc_id, r.changed) for r in contamination.find_items(docs, items).collect()} == {(1, 0), (2, 2)}
 
 
+WORDS = ("amber basin cedar delta ember fjord grove heath inlet jetty knoll ledge marsh north ocean plain quarry ridge "
+         "shore tower upland valley woods xylem yarrow zenith acorn birch clover daisy elder ferns gorse hazel iris "
+         "jasmine kelp lilac").split()
+
+
+def test_edited_copies(spark):
+    """Words left out, put in or replaced; short items too. Half of the words in other order are no copy."""
+    short = WORDS[:15]
+    copies = {1: WORDS[:19] + WORDS[20:], 2: WORDS[:12] + WORDS[13:25] + WORDS[26:], 3: WORDS[:19] + ["new"] + WORDS[19:],
+              4: [*WORDS[:12], "one", "more", *WORDS[12:25], "again", *WORDS[25:]], 5: WORDS[:10]}
+    docs = [(k, FILLER + " ".join(w) + ". " + FILLER) for k, w in copies.items()]
+    docs += [(6, FILLER + " ".join([*short[:7], "new", *short[8:]])), (7, " ".join(short[::-1])), (8, FILLER)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole, part = [(1, " ".join(WORDS))], [(2, " ".join(short))]
+    found = [{r.doc_id: r.covered for r in contamination.find_items(
+        df, spark.createDataFrame(i, "item_id bigint, text string")).collect()} for i in (whole, part)]
+    assert found[0] == {1: 37, 2: 36, 3: 38, 4: 38}
+    assert set(found[1]) == {1, 2, 3, 4, 5, 6} and found[1][6] == 14
+
+
 def test_benchmark_passages(spark, sf_dir, texts):
     def plain(text):
         return " ".join(re.findall(r"\w+", text.lower()))
