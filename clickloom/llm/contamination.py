@@ -5,6 +5,9 @@ joined by hash. Matching windows of a document and an item on neighbouring lines
 belong together, so that words put in or left out do not split a copy; they count only if their placeholders agree:
 what stands for one value of the item is one value in the document, and the other way round. An item is in a document
 when enough of its words are covered.
+
+Literal windows, of lower-case words and numbers as they stand, are joined beside them: for items of few plain words, of
+few words at all, and for copies in other capitals.
 """
 
 from __future__ import annotations
@@ -31,12 +34,22 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
                          "sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety "
                          "hundred thousand million billion".split())
+# Words that are no names although they open sentences.
+NO_NAMES = frozenset("a an the this that these those some any all each every no one both many most more few several and or "
+                     "but if so then when while as at by for from in into of on to with without after before since until "
+                     "i you he she it we they his her its our your their my who whom whose what which where why how is "
+                     "are was were be do does did has have had can could will would shall should may might must not there "
+                     "here let find give given calculate suppose assume consider determine compute show prove solve "
+                     "write explain choose select".split())
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
 _NUMBER, _NAME, _UNIT = "\x01number", "\x01name", "\x01unit"
 _SLOTS = (_NUMBER, _NAME, _UNIT)
 # Flags of a token beside the number of its word among the known ones.
 _WORD_BITS = 40
-_IS_BREAK, _IS_NUMBER, _IS_CAPITAL, _IS_UNIT, _IS_SEEN = (1 << _WORD_BITS + k for k in range(5))
+_IS_BREAK, _IS_NUMBER, _IS_CAPITAL, _IS_UNIT, _IS_SEEN, _IS_LETTERS, _IS_COMMON = (
+    1 << _WORD_BITS + k for k in range(7))
+# Seeds of the hashes of template windows and of literal ones.
+_TEMPLATE, _LITERAL = 0, 1
 _MEMORY = 500_000
 # Items with up to so many windows reach the tasks as a filter; beyond it every window is joined.
 SHIPPED_WINDOWS = 2_000_000
@@ -47,28 +60,33 @@ class TemplateRules:
     """``window`` words per window, a third of shorter items down to ``least``; ``plain`` of them no placeholders.
 
     An item counts as present when at least ``percent`` of its words are covered, and no fewer than ``window`` words or
-    two thirds of it. Lines of one copy are up to an item's length over ``drift`` apart.
+    two thirds of it. Lines of one copy are up to an item's length over ``drift`` apart. Items of ``shortest`` words, but
+    fewer than ``least``, count only as they stand.
     """
 
     window: int = 8
     least: int = 5
+    shortest: int = 3
     plain: int = 4
     percent: int = 50
     drift: int = 4
 
     def size(self, words: int) -> int:
-        return max(self.least, min(self.window, words // 3))
+        return min(words, max(self.least, min(self.window, words // 3)))
 
     def enough(self, words: int) -> int:
+        if words < self.least:
+            return words
         return max(-(-words * self.percent // 100), min(self.window, -(-words * 2 // 3)))
 
 
 def _code(token: str, low: str) -> int:
     """Flags of a token, without its word."""
+    capital = _IS_CAPITAL if token[0] != low[0] else 0
     if low in UNITS:
-        return _IS_UNIT | (_IS_CAPITAL if token[0] != low[0] else 0)
+        return _IS_UNIT | _IS_LETTERS | capital
     if token[0].isalpha():
-        return _IS_NUMBER if low in NUMBER_WORDS else _IS_CAPITAL if token[0] != low[0] else 0
+        return _IS_LETTERS | (_IS_NUMBER if low in NUMBER_WORDS else capital)
     return _IS_NUMBER if token[0].isdigit() else _IS_BREAK
 
 
@@ -77,41 +95,51 @@ def word_number(low: str) -> int:
 
 
 class Templates:
-    """Template words of texts as numbers. ``words`` limits them to known ones: others get 0."""
+    """Words of texts as numbers. ``words`` limits them to known ones: others get 0.
+
+    A capital word inside a sentence is a name. Where most words of a sentence have capitals (headings, shouting), the
+    ``common`` words are none.
+    """
 
-    def __init__(self, words: dict[str, int] | None = None):
+    def __init__(self, common: frozenset[str], words: dict[str, int] | None = None):
+        self.common = common
         self.words = words
         self.codes: dict[str, int] = {}
 
     def _learn(self, token: str) -> int:
         low = token.lower()
+        value = _value(token)
         if self.words is None:
-            word = word_number(low)
+            word = word_number(value)
         else:
-            word = self.words.get(low, 0)
-        code = _code(token, low) | word | _IS_SEEN  # never 0
+            word = self.words.get(value, 0)
+        code = _code(token, low) | word | _IS_SEEN | (_IS_COMMON if low in self.common else 0)  # never 0
         if len(self.codes) < _MEMORY:
             self.codes[token] = code
         return code
 
-    def read(self, text: str) -> tuple[np.ndarray, list[str]]:
-        """Numbers of the template words (placeholders are 1 to 3 in the bits above the words) and the tokens."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Numbers of the template words (placeholders are 1 to 3 in the bits above the words), of the literal words,
+        and the tokens."""
         tokens = _TOKEN.findall(text)
         known, learn = self.codes.get, self._learn
         codes = np.array([known(t) or learn(t) for t in tokens], dtype=np.int64)
         if not len(codes):
-            return codes, tokens
+            return codes, codes, tokens
         breaks = codes & _IS_BREAK != 0
         starts = np.concatenate([[True], breaks[:-1]])
         real = np.flatnonzero(~breaks)
+        sentence = np.cumsum(breaks)[real]
         codes, starts = codes[real], starts[real]
-        number = codes & _IS_NUMBER != 0
-        name = (codes & _IS_CAPITAL != 0) & ~starts & ~number
+        number, capital = codes & _IS_NUMBER != 0, codes & _IS_CAPITAL != 0
+        loud = (2 * np.bincount(sentence, capital) > np.bincount(sentence, codes & _IS_LETTERS != 0))[sentence]
+        name = capital & ~number & np.where(loud, codes & _IS_COMMON == 0, ~starts)
         unit = (codes & _IS_UNIT != 0) & ~name & np.concatenate([[False], number[:-1]])
-        out = codes & (1 << _WORD_BITS) - 1
+        literal = codes & (1 << _WORD_BITS) - 1
+        out = literal.copy()
         for k, mask in enumerate((number, name, unit), 1):
             out[mask] = k << _WORD_BITS
-        return out, [tokens[k] for k in real] if len(real) < len(tokens) else tokens
+        return out, literal, [tokens[k] for k in real] if len(real) < len(tokens) else tokens
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +152,8 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def window_hashes(words: np.ndarray, sizes: list[int], plain: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def window_hashes(words: np.ndarray, sizes: list[int], plain: int,
+                  seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Size, positions and hashes of the windows that count: no unknown word and enough plain ones. Sizes ascend."""
     mixed = _mixed(words)
     unknown = np.concatenate([[0], np.cumsum(words == 0)])
@@ -138,7 +167,7 @@ def window_hashes(words: np.ndarray, sizes: list[int], plain: int) -> Iterator[t
             hashes = hashes * np.uint64(0x100000001B3) + mixed[places + k]
         done = size
         counted = size - (slots[places + size] - slots[places]) >= plain
-        yield size, places[counted], _mixed(hashes[counted] + np.uint64(size)).view(np.int64)
+        yield size, places[counted], _mixed(hashes[counted] + np.uint64(size + (seed << 32))).view(np.int64)
 
 
 def _value(token: str) -> str:
@@ -151,21 +180,28 @@ def _slots(words: np.ndarray, tokens: list[str], start: int, size: int) -> list[
             for k in range(size) if words[start + k] >> _WORD_BITS]
 
 
-def _item_rows(rules: TemplateRules) -> Callable:
+def _item_rows(rules: TemplateRules, common) -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates()
+        templates = Templates(common.value)
         for batch in batches.slices(source):
             rows = []
             for item, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words, tokens = templates.read(text)
-                if len(words) < rules.least:
+                words, literal, tokens = templates.read(text)
+                if len(words) < rules.shortest:
                     continue
-                key = xxhash.xxh3_128_hexdigest(words.tobytes())
-                for size, places, hashes in window_hashes(words, [rules.size(len(words))], rules.plain):
-                    rows += [(item, key, len(words), size, p, h, _slots(words, tokens, p, size))
-                             for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+                exact = xxhash.xxh3_128_hexdigest(literal.tobytes())
+                size, n = [rules.size(len(words))], len(words)
+                own = []
+                for _, places, hashes in window_hashes(words, size if n >= rules.least else [], rules.plain, _TEMPLATE):
+                    own += [("", p, h, _slots(words, tokens, p, size[0]))
+                            for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+                # Without windows of its own, a template says nothing of the item.
+                key = xxhash.xxh3_128_hexdigest(words.tobytes()) if own else f"literal {exact}"
+                for _, places, hashes in window_hashes(literal, size, 0, _LITERAL):
+                    own += [(exact, p, h, []) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+                rows += [(item, key, n, size[0], *w) for w in own]
             yield _batch(rows, {"item_id": pa.int64(), "template": pa.string(), "item_tokens": pa.int64(),
-                                "size": pa.int32(), "item_at": pa.int64(), "hash": pa.int64(),
+                                "size": pa.int32(), "literal": pa.string(), "item_at": pa.int64(), "hash": pa.int64(),
                                 "item_slots": pa.list_(pa.string())})
 
     return run
@@ -178,32 +214,39 @@ def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
 
 
 def _item_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and numbers of items, and how often each is written small."""
     for batch in batches.slices(source):
-        found = {t.lower() for text in batch.column("text").to_pylist() for t in _TOKEN.findall(text)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
+        found, small = set(), Counter()
+        for text in batch.column("text").to_pylist():
+            tokens = _TOKEN.findall(text)
+            found.update(map(_value, tokens))
+            small.update(t for t in tokens if t[0].islower())
+        yield _batch([(w, small[w]) for w in found], {"word": pa.string(), "small": pa.int64()})
 
 
-def _doc_rows(rules: TemplateRules, sizes: list[int], filters) -> Callable:
+def _doc_rows(rules: TemplateRules, sizes: dict[int, list[int]], common, filters) -> Callable:
     """Windows of documents: those in the filter, or all where there is none."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words_known, wanted = filters.value if filters else (None, None)
-        templates = Templates(words_known)
+        templates = Templates(common.value, words_known)
         row = TaskContext.get().partitionId() << 40
         kinds = {"row": pa.int64(), "doc_id": pa.int64(), "size": pa.int32(), "at": pa.int64(), "hash": pa.int64(),
                  "slots": pa.list_(pa.string())}
         for batch in batches.slices(source):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words, tokens = templates.read(text)
-                for size, places, own in window_hashes(words, sizes, rules.plain):
-                    if wanted is not None and len(own):
-                        k = np.searchsorted(wanted, own)
-                        hit = wanted[np.minimum(k, len(wanted) - 1)] == own
-                        places, own = places[hit], own[hit]
-                    rows += [(row, doc_id, size, p, h, _slots(words, tokens, p, size))
-                             for p, h in zip(places.tolist(), own.tolist(), strict=True)]
+                words, literal, tokens = templates.read(text)
+                for seed, read, plain in ((_TEMPLATE, words, rules.plain), (_LITERAL, literal, 0)):
+                    for size, places, own in window_hashes(read, sizes[seed], plain, seed):
+                        if wanted is not None and len(own):
+                            hashes = wanted[seed, size]
+                            k = np.searchsorted(hashes, own)
+                            hit = hashes[np.minimum(k, len(hashes) - 1)] == own
+                            places, own = places[hit], own[hit]
+                        rows += [(row, doc_id, size, p, h, _slots(read, tokens, p, size))
+                                 for p, h in zip(places.tolist(), own.tolist(), strict=True)]
                 row += 1
             yield _batch(rows, kinds)
 
@@ -217,30 +260,36 @@ def find_items(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
 
     ``slots`` counts the different values behind placeholders of the matched part and ``changed`` those that are others
     in the document; 0 changed is a literal copy. Items with equal templates count as one, under their smallest id;
-    without ids it is null. Items of fewer than ``rules.least`` words, and null or empty texts on either side, match
-    nothing. One row per document id and item, with its best-covered place; repeated rows agree in it.
+    without ids it is null. Windows that match literally count no values. Items of fewer than ``rules.shortest`` words,
+    and null or empty texts on either side, match nothing. One row per document id and item, with its best-covered place; repeated rows agree in it.
     """
     spark = docs.sparkSession
     texts = batches.texts(items, item_col, item_text_col)
+    words = texts.select("text").mapInArrow(_item_words, "word string, small bigint").groupBy("word").agg(
+        F.sum("small").alias("small")).toPandas()
+    common = spark.sparkContext.broadcast(frozenset(words["word"][words["small"] > 0]) | NO_NAMES)
     windows = staged(texts.mapInArrow(
-        _item_rows(rules), "item_id bigint, template string, item_tokens bigint, size int, item_at bigint, hash bigint, "
-                           "item_slots array<string>"), "items")
+        _item_rows(rules, common),
+        "item_id bigint, template string, item_tokens bigint, size int, literal string, item_at bigint, hash bigint, "
+        "item_slots array<string>"), "items")
     # Equal templates have equal windows, and differ in their values only: the smallest id stands for all.
-    first = windows.groupBy("template", "item_at").agg(F.min_by(
+    first = windows.groupBy("template", "literal", "item_at").agg(F.min_by(
         F.struct("item_id", "item_tokens", "size", "hash", "item_slots"),
         F.struct(F.col("item_id").isNull(), "item_id", "item_slots")).alias("one"))
-    windows = staged(first.select("template", "item_at", "one.*"), "templates")
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most rules.window
+    ids = windows.groupBy("template").agg(F.min("item_id").alias("item_id"))
+    windows = staged(first.select("template", "literal", "item_at", "one.*").drop("item_id").join(ids, "template"),
+                     "templates")
+    seed = F.when(F.col("literal") == "", _TEMPLATE).otherwise(_LITERAL).alias("seed")
+    sizes = {_TEMPLATE: [], _LITERAL: []}
+    for r in windows.select(seed, "size").distinct().orderBy("size").collect():  # at most rules.window of each
+        sizes[r["seed"]].append(r["size"])
     filters = None
     if windows.count() <= shipped_windows:
-        hashes = windows.select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
-        words = texts.select("doc_id", "text").mapInArrow(_item_words, "word string").distinct().toPandas()["word"]
-        filters = spark.sparkContext.broadcast(({w: word_number(w) for w in words}, np.sort(hashes)))
-    if not sizes:
-        sizes = [rules.window]
-        filters = spark.sparkContext.broadcast(({}, np.zeros(1, dtype=np.int64)))
+        hashes = windows.select(seed, "size", "hash").distinct().toPandas()
+        wanted = {k: np.sort(g["hash"].to_numpy(dtype=np.int64)) for k, g in hashes.groupby(["seed", "size"])}
+        filters = spark.sparkContext.broadcast(({w: word_number(w) for w in words["word"]}, wanted))
     found = batches.texts(docs, id_col, text_col).mapInArrow(
-        _doc_rows(rules, sizes, filters),
+        _doc_rows(rules, sizes, common, filters),
         "row bigint, doc_id bigint, size int, at bigint, hash bigint, slots array<string>")
     pairs = found.join(windows, ["size", "hash"])
     return _judged(pairs, rules)

@@ -140,6 +140,21 @@ def test_edited_copies(spark):
     assert set(found[1]) == {1, 2, 3, 4, 5, 6} and found[1][6] == 14
 
 
+@pytest.mark.parametrize("shipped", [contamination.SHIPPED_WINDOWS, 0])
+def test_literal_copies(spark, shipped):
+    """Few plain words, few words, headings and capitals on either side; equal templates by their own text."""
+    items = [(1, "What is 345 plus 678?"), (2, "12 + 7 = 19, 8 + 5 = 13"), (3, "What is 2+2?"),
+             (4, "The Rise And Fall Of The Northern Copper Kingdom"), (5, ITEMS[1][1]), (6, "What is 12 plus 34?"),
+             (7, "SEVEN OLD WOMEN CARRY GREEN BASKETS UPHILL")]
+    docs = [(10 + k, FILLER + text + " " + FILLER) for k, text in items]
+    docs += [(24, FILLER + items[3][1].lower()), (25, FILLER + items[4][1].upper()), (35, FILLER + items[4][1].title()),
+             (27, "They saw seven old women carry green baskets uphill."), (40, "What is 999 plus 1?"), (41, FILLER)]
+    found = contamination.find_items(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                                     spark.createDataFrame(items, "item_id bigint, text string"), shipped_windows=shipped)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {
+        *((10 + k, k) for k, _ in items), (24, 4), (25, 5), (35, 5), (27, 7)}
+
+
 def test_benchmark_passages(spark, sf_dir, texts):
     def plain(text):
         return " ".join(re.findall(r"\w+", text.lower()))
