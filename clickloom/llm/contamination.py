@@ -2,9 +2,9 @@
 
 Texts become templates: numbers, names and units are replaced by typed placeholders. Windows of template words are
 joined by hash. Matching windows of a document and an item on neighbouring lines (document position less item position)
-belong together, so that words put in or left out do not split a copy; they count only if their placeholders agree:
-what stands for one value of the item is one value in the document, and the other way round. An item is in a document
-when enough of its words are covered.
+belong together, so that words put in or left out do not split a copy. One value of the item is one value in the
+document, and the other way round; windows whose placeholders say otherwise are left out. An item is in a document when
+enough of its words are covered.
 
 Literal windows, of lower-case words and numbers as they stand, are joined beside them: for items of few plain words, of
 few words at all, and for copies in other capitals.
@@ -34,6 +34,7 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
                          "sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety "
                          "hundred thousand million billion".split())
+_BREAKS = frozenset(".!?:\n")
 # Words that are no names although they open sentences.
 NO_NAMES = frozenset("a an the this that these those some any all each every no one both many most more few several and or "
                      "but if so then when while as at by for from in into of on to with without after before since until "
@@ -46,18 +47,20 @@ _NUMBER, _NAME, _UNIT = "\x01number", "\x01name", "\x01unit"
 _SLOTS = (_NUMBER, _NAME, _UNIT)
 # Flags of a token beside the number of its word among the known ones.
 _WORD_BITS = 40
-_IS_BREAK, _IS_NUMBER, _IS_CAPITAL, _IS_UNIT, _IS_SEEN, _IS_LETTERS, _IS_COMMON = (
-    1 << _WORD_BITS + k for k in range(7))
+_IS_BREAK, _IS_NUMBER, _IS_CAPITAL, _IS_UNIT, _IS_SEEN, _IS_LETTERS, _IS_COMMON, _IS_END = (
+    1 << _WORD_BITS + k for k in range(8))
 # Seeds of the hashes of template windows and of literal ones.
 _TEMPLATE, _LITERAL = 0, 1
 _MEMORY = 500_000
+# Texts of about so many characters are read together.
+_TOGETHER = 1_000_000
 # Items with up to so many windows reach the tasks as a filter; beyond it every window is joined.
 SHIPPED_WINDOWS = 2_000_000
 
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """``window`` words per window, a third of shorter items down to ``least``; ``plain`` of them no placeholders.
+    """``window`` words per window, and a third of shorter items down to ``least``; ``plain`` of them no placeholders.
 
     An item counts as present when at least ``percent`` of its words are covered, and no fewer than ``window`` words or
     two thirds of it. Lines of one copy are up to an item's length over ``drift`` apart. Items of ``shortest`` words, but
@@ -71,8 +74,9 @@ class TemplateRules:
     percent: int = 50
     drift: int = 4
 
-    def size(self, words: int) -> int:
-        return min(words, max(self.least, min(self.window, words // 3)))
+    def sizes(self, words: int) -> list[int]:
+        """The short one for edited copies; the long one has enough plain words more often."""
+        return sorted({min(words, max(self.least, min(self.window, words // 3))), min(words, self.window)})
 
     def enough(self, words: int) -> int:
         if words < self.least:
@@ -97,14 +101,15 @@ def word_number(low: str) -> int:
 class Templates:
     """Words of texts as numbers. ``words`` limits them to known ones: others get 0.
 
-    A capital word inside a sentence is a name. Where most words of a sentence have capitals (headings, shouting), the
-    ``common`` words are none.
+    A capital word inside a sentence is a name. At the start of one, and where most words of a sentence have capitals
+    (headings, shouting), the ``common`` words are none.
     """
 
     def __init__(self, common: frozenset[str], words: dict[str, int] | None = None):
         self.common = common
         self.words = words
-        self.codes: dict[str, int] = {}
+        self.codes: dict[str, int] = {"": _IS_END}
+        self.sizes: list[int] = []  # tokens of each text that was read last, with its end
 
     def _learn(self, token: str) -> int:
         low = token.lower()
@@ -118,28 +123,46 @@ class Templates:
             self.codes[token] = code
         return code
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Numbers of the template words (placeholders are 1 to 3 in the bits above the words), of the literal words,
-        and the tokens."""
-        tokens = _TOKEN.findall(text)
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Numbers of the template words (placeholders are 1 to 3 in the bits above the words) and of the literal words,
+        where their tokens are, and the tokens. Every text ends with an empty token and the number 0, as of an unknown
+        word."""
+        tokens: list[str] = []
+        self.sizes = []
+        for text in texts:
+            found = _TOKEN.findall(text)
+            tokens += found
+            tokens.append("")
+            self.sizes.append(len(found) + 1)
         known, learn = self.codes.get, self._learn
         codes = np.array([known(t) or learn(t) for t in tokens], dtype=np.int64)
-        if not len(codes):
-            return codes, codes, tokens
-        breaks = codes & _IS_BREAK != 0
+        breaks = codes & (_IS_BREAK | _IS_END) != 0
         starts = np.concatenate([[True], breaks[:-1]])
-        real = np.flatnonzero(~breaks)
+        real = np.flatnonzero(codes & _IS_BREAK == 0)
         sentence = np.cumsum(breaks)[real]
         codes, starts = codes[real], starts[real]
         number, capital = codes & _IS_NUMBER != 0, codes & _IS_CAPITAL != 0
         loud = (2 * np.bincount(sentence, capital) > np.bincount(sentence, codes & _IS_LETTERS != 0))[sentence]
-        name = capital & ~number & np.where(loud, codes & _IS_COMMON == 0, ~starts)
+        name = capital & ~number & np.where(loud | starts, codes & _IS_COMMON == 0, True)
         unit = (codes & _IS_UNIT != 0) & ~name & np.concatenate([[False], number[:-1]])
         literal = codes & (1 << _WORD_BITS) - 1
         out = literal.copy()
         for k, mask in enumerate((number, name, unit), 1):
             out[mask] = k << _WORD_BITS
-        return out, literal, [tokens[k] for k in real] if len(real) < len(tokens) else tokens
+        return out, literal, real, tokens
+
+
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts, in order."""
+    own, size = [], 0
+    for text in texts:
+        own.append(text)
+        size += len(text)
+        if size >= _TOGETHER:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -174,9 +197,9 @@ def _value(token: str) -> str:
     return token.lower().replace(",", "")
 
 
-def _slots(words: np.ndarray, tokens: list[str], start: int, size: int) -> list[str]:
+def _slots(words: np.ndarray, real: np.ndarray, tokens: list[str], start: int, size: int) -> list[str]:
     """``offset type value`` of the placeholders in a window."""
-    return [f"{k} {words[start + k] >> _WORD_BITS} {_value(tokens[start + k])}"
+    return [f"{k} {words[start + k] >> _WORD_BITS} {_value(tokens[real[start + k]])}"
             for k in range(size) if words[start + k] >> _WORD_BITS]
 
 
@@ -186,20 +209,20 @@ def _item_rows(rules: TemplateRules, common) -> Callable:
         for batch in batches.slices(source):
             rows = []
             for item, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words, literal, tokens = templates.read(text)
+                words, literal, real, tokens = templates.read([text])
+                words, literal = words[:-1], literal[:-1]
                 if len(words) < rules.shortest:
                     continue
                 exact = xxhash.xxh3_128_hexdigest(literal.tobytes())
-                size, n = [rules.size(len(words))], len(words)
-                own = []
-                for _, places, hashes in window_hashes(words, size if n >= rules.least else [], rules.plain, _TEMPLATE):
-                    own += [("", p, h, _slots(words, tokens, p, size[0]))
+                n, sizes, own = len(words), rules.sizes(len(words)), []
+                for size, places, hashes in window_hashes(words, sizes if n >= rules.least else [], rules.plain, _TEMPLATE):
+                    own += [(size, "", p, h, _slots(words, real, tokens, p, size))
                             for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
                 # Without windows of its own, a template says nothing of the item.
                 key = xxhash.xxh3_128_hexdigest(words.tobytes()) if own else f"literal {exact}"
-                for _, places, hashes in window_hashes(literal, size, 0, _LITERAL):
-                    own += [(exact, p, h, []) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
-                rows += [(item, key, n, size[0], *w) for w in own]
+                for size, places, hashes in window_hashes(literal, sizes[:1], 0, _LITERAL):
+                    own += [(size, exact, p, h, []) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+                rows += [(item, key, n, *w) for w in own]
             yield _batch(rows, {"item_id": pa.int64(), "template": pa.string(), "item_tokens": pa.int64(),
                                 "size": pa.int32(), "literal": pa.string(), "item_at": pa.int64(), "hash": pa.int64(),
                                 "item_slots": pa.list_(pa.string())})
@@ -214,14 +237,16 @@ def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
 
 
 def _item_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and numbers of items, and how often each is written small."""
+    """Words and numbers of items, and how often each is written small, and with a capital inside a sentence."""
     for batch in batches.slices(source):
-        found, small = set(), Counter()
+        found, small, inside = set(), Counter(), Counter()
         for text in batch.column("text").to_pylist():
             tokens = _TOKEN.findall(text)
             found.update(map(_value, tokens))
             small.update(t for t in tokens if t[0].islower())
-        yield _batch([(w, small[w]) for w in found], {"word": pa.string(), "small": pa.int64()})
+            inside.update(t.lower() for before, t in zip(tokens, tokens[1:]) if t[0].isupper() and before not in _BREAKS)
+        yield _batch([(w, small[w], inside[w]) for w in found],
+                     {"word": pa.string(), "small": pa.int64(), "inside": pa.int64()})
 
 
 def _doc_rows(rules: TemplateRules, sizes: dict[int, list[int]], common, filters) -> Callable:
@@ -236,8 +261,10 @@ def _doc_rows(rules: TemplateRules, sizes: dict[int, list[int]], common, filters
                  "slots": pa.list_(pa.string())}
         for batch in batches.slices(source):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words, literal, tokens = templates.read(text)
+            ids, at = batch.column("doc_id").to_pylist(), 0
+            for texts in together(batch.column("text").to_pylist()):
+                words, literal, real, tokens = templates.read(texts)
+                ends = np.searchsorted(real, np.cumsum(templates.sizes) - 1)
                 for seed, read, plain in ((_TEMPLATE, words, rules.plain), (_LITERAL, literal, 0)):
                     for size, places, own in window_hashes(read, sizes[seed], plain, seed):
                         if wanted is not None and len(own):
@@ -245,9 +272,13 @@ def _doc_rows(rules: TemplateRules, sizes: dict[int, list[int]], common, filters
                             k = np.searchsorted(hashes, own)
                             hit = hashes[np.minimum(k, len(hashes) - 1)] == own
                             places, own = places[hit], own[hit]
-                        rows += [(row, doc_id, size, p, h, _slots(read, tokens, p, size))
-                                 for p, h in zip(places.tolist(), own.tolist(), strict=True)]
-                row += 1
+                        of = np.searchsorted(ends, places)
+                        begins = np.concatenate([[0], ends + 1])[of]
+                        rows += [(row + at + d, ids[at + d], size, p - b, h, _slots(read, real, tokens, p, size))
+                                 for d, b, p, h in zip(of.tolist(), begins.tolist(), places.tolist(), own.tolist(),
+                                                       strict=True)]
+                at += len(texts)
+            row += at
             yield _batch(rows, kinds)
 
     return run
@@ -265,19 +296,19 @@ def find_items(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     """
     spark = docs.sparkSession
     texts = batches.texts(items, item_col, item_text_col)
-    words = texts.select("text").mapInArrow(_item_words, "word string, small bigint").groupBy("word").agg(
-        F.sum("small").alias("small")).toPandas()
-    common = spark.sparkContext.broadcast(frozenset(words["word"][words["small"] > 0]) | NO_NAMES)
+    words = texts.select("text").mapInArrow(_item_words, "word string, small bigint, inside bigint").groupBy("word").agg(
+        (F.sum("small") > F.sum("inside")).alias("common")).toPandas()
+    common = spark.sparkContext.broadcast(frozenset(words["word"][words["common"].astype(bool)]) | NO_NAMES)
     windows = staged(texts.mapInArrow(
         _item_rows(rules, common),
         "item_id bigint, template string, item_tokens bigint, size int, literal string, item_at bigint, hash bigint, "
         "item_slots array<string>"), "items")
     # Equal templates have equal windows, and differ in their values only: the smallest id stands for all.
-    first = windows.groupBy("template", "literal", "item_at").agg(F.min_by(
-        F.struct("item_id", "item_tokens", "size", "hash", "item_slots"),
+    first = windows.groupBy("template", "literal", "size", "item_at").agg(F.min_by(
+        F.struct("item_id", "item_tokens", "hash", "item_slots"),
         F.struct(F.col("item_id").isNull(), "item_id", "item_slots")).alias("one"))
     ids = windows.groupBy("template").agg(F.min("item_id").alias("item_id"))
-    windows = staged(first.select("template", "literal", "item_at", "one.*").drop("item_id").join(ids, "template"),
+    windows = staged(first.select("template", "literal", "size", "item_at", "one.*").drop("item_id").join(ids, "template"),
                      "templates")
     seed = F.when(F.col("literal") == "", _TEMPLATE).otherwise(_LITERAL).alias("seed")
     sizes = {_TEMPLATE: [], _LITERAL: []}
@@ -306,13 +337,29 @@ def _judge(rules: TemplateRules, item_tokens: int, windows: list[Window]) -> tup
     for item_at, at, *_ in sorted(windows, key=lambda w: (-on_line[w[1] - w[0]], abs(w[1] - w[0] - main), w[1])):
         nearest.setdefault(item_at, at)
     kept = [w for w in windows if nearest[w[0]] == w[1]]
-    values = {pair for w in kept for pair in _values(w)}
-    if len({i for i, _ in values}) < len(values) or len({d for _, d in values}) < len(values):
+    values = _agreed(kept)
+    if values is None:
         return None
-    covered = min(len({at + k for at in {w[side] for w in kept} for k in range(kept[0][2])}) for side in (0, 1))
-    if covered < rules.enough(item_tokens):
-        return None
-    return covered, len(values), sum(i != d for i, d in values)
+    kept = [w for w in kept if values.issuperset(_values(w))]
+    values = {pair for w in kept for pair in _values(w)}
+    covered = min(len({at + k for at, size in {(w[side], w[2]) for w in kept} for k in range(size)}) for side in (0, 1))
+    return None if covered < rules.enough(item_tokens) else (covered, len(values), sum(i != d for i, d in values))
+
+
+def _agreed(windows: list[Window]) -> set[tuple[str, str]] | None:
+    """Pairs of values, each value once: the most frequent pair of an item value, and unchanged ones before others.
+
+    None where nothing but other values for one another remains: several values turned into one are no copy.
+    """
+    places = {(w[0] + int(slot.split(" ", 1)[0]), pair)
+              for w in windows for slot, pair in zip(w[3], _values(w), strict=True)}
+    votes = Counter(pair for _, pair in places)
+    chosen: dict[str, str] = {}
+    for item, doc in sorted(votes, key=lambda p: (-votes[p], p[0] != p[1], p)):
+        chosen.setdefault(item, doc)
+    shared = Counter(chosen.values())
+    agreed = {(i, d) for i, d in chosen.items() if shared[d] == 1 or i == d}
+    return agreed if agreed or not votes else None
 
 
 def _values(window: Window) -> list[tuple[str, str]]:

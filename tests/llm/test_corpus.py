@@ -155,6 +155,22 @@ def test_literal_copies(spark, shipped):
         *((10 + k, k) for k, _ in items), (24, 4), (25, 5), (35, 5), (27, 7)}
 
 
+def test_names_and_values(spark):
+    """Names that open sentences; one of two equal numbers edited; two numbers that became one."""
+    line = " ".join(WORDS[:14])
+    items = {1: "Maria works 8 hours. Tom works 6 hours. Ann works 7 hours. Who earns the most?",
+             2: f"{line} then 5 plates and the same cook then sold 5 plates to {' '.join(WORDS[20:30])}",
+             3: "The baker sold 2 apples and 3 pears to 9 guests of the old harbour inn before noon. How much was left?"}
+    docs = [(1, items[1].replace("Maria", "Peter").replace("Tom", "Olga").replace("Ann", "Ravi")),
+            (2, items[2].replace("sold 5", "sold 6")),
+            (3, items[3].replace("2 ", "4 ").replace("3 ", "4 ").replace("9 ", "11 ")),
+            (4, items[3].replace("2 ", "3 ")), (5, "Olga works 8 hours. Then she goes home and reads."), (6, FILLER)]
+    df = spark.createDataFrame([(k, FILLER + text + " " + FILLER) for k, text in docs], "doc_id bigint, text string")
+    found = contamination.find_items(df, spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    changed = {(r.doc_id, r.item_id): r.changed for r in found.collect()}
+    assert changed == {(1, 1): 1, (2, 2): 0, (3, 3): 1, (4, 3): 0}  # changed values of the matched part
+
+
 def test_benchmark_passages(spark, sf_dir, texts):
     def plain(text):
         return " ".join(re.findall(r"\w+", text.lower()))
