@@ -204,6 +204,11 @@ def spelled_signs(text: str) -> Rewritten | None:
             continue
         dots = [(d.start(), d.end()) for d in _ONE_DOT.finditer(text, labels.start(2), labels.end())]
         before = [(d.start(), d.end()) for d in _ONE_DOT.finditer(text, name.start(), name.end())]
+        starts = [name.start(), *(b for _, b in before)]
+        for k in range(len(before) - 1, -1, -1):  # "connect the dot ann@..." has no name "the"
+            if text[starts[k]:before[k][0]].lower() in _NO_LABEL and text[slice(*before[k])].strip().lower() == "dot":
+                before = before[k + 1:]
+                break
         plain_at = at[0].strip().lower() == "at"
         spoken = [d for d in dots if text[d[0]:d[1]] != "."]
         words = any(text[a:b].strip().lower() == "dot" for a, b in dots)
@@ -226,29 +231,47 @@ def spelled_signs(text: str) -> Rewritten | None:
 def scan_text(text: str) -> list[Span]:
     """All spans by kind, then start: the plain ones, and those that only the rewritten text shows.
 
-    An added span covers at least one rewritten place and no plain span of its kind. Offsets count code points of the
-    source, ends are exclusive.
+    An added span covers at least one rewritten place; it may hold a plain span, which stays. Of added spans within one
+    another the widest counts, and none lies within a plain one of its kind. Offsets count code points of the source, ends
+    are exclusive.
     """
     base = plain_spans(text)
     layers: list[Rewritten] = []
     current = text
+    added: set[Span] = set()
     for step in (look_alikes, spelled_digits, spelled_signs):
         layer = step(current)
         if layer:
             layers.append(layer)
             current = layer.text
-    added: list[Span] = []
-    if layers:
-        changed = _changed(layers)
-        for kind, start, end in plain_spans(current):
-            for layer in reversed(layers):
-                start, end = layer.source(start, end)
-            k = bisect_right(changed, (start, -1))
-            if not any(a < end and start < b for a, b in changed[max(0, k - 1):k + 1]):
-                continue
-            if not any(b[0] == kind and b[1] < end and start < b[2] for b in base):
-                added.append((kind, start, end))
-    return sorted({*base, *added}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+            added.update(_mapped_back(current, layers))
+    return sorted({*base, *_widest(added, base)}, key=_by_kind)
+
+
+def _by_kind(span: Span) -> tuple[int, int, int]:
+    return KINDS.index(span[0]), span[1], span[2]
+
+
+def _mapped_back(text: str, layers: list[Rewritten]) -> list[Span]:
+    """Source spans of what the text of the last layer shows, where they cover a rewritten place."""
+    changed, found = _changed(layers), []
+    for kind, start, end in plain_spans(text):
+        for layer in reversed(layers):
+            start, end = layer.source(start, end)
+        k = bisect_right(changed, (start, -1))
+        if any(a < end and start < b for a, b in changed[max(0, k - 1):k + 1]):
+            found.append((kind, start, end))
+    return found
+
+
+def _widest(added: set[Span], base: list[Span]) -> list[Span]:
+    """Added spans that lie in no other span of their kind."""
+    kept, last = [], ("", 0, 0)
+    for span in sorted({*added, *base}, key=lambda s: (KINDS.index(s[0]), s[1], -s[2])):
+        if span[0] != last[0] or span[2] > last[2]:
+            last = span
+            kept.append(span)
+    return [span for span in kept if span in added]
 
 
 def _changed(layers: list[Rewritten]) -> list[tuple[int, int]]:

@@ -110,6 +110,17 @@ def test_disguises_map_back(text, kind, value):
     assert [(k, text[a:b]) for k, a, b in pii.scan_text(text)] == [(kind, value)]
 
 
+@pytest.mark.parametrize("text,base,value", [
+    ("mail jоhn@example.com now", "hn@example.com", "jоhn@example.com"),
+    ("mail, first dot last@example.com", "last@example.com", "first dot last@example.com"),
+    ("alice@mail.example dot com", "alice@mail.example", "alice@mail.example dot com"),
+    ("connect the dot ann@example.com", "ann@example.com", "ann@example.com"),
+])
+def test_disguises_around_plain_matches(text, base, value):
+    assert [text[a:b] for _, a, b in pii.plain_spans(text)] == [base]
+    assert {(k, text[a:b]) for k, a, b in pii.scan_text(text)} == {("email", base), ("email", value)}
+
+
 @pytest.mark.parametrize("text", ["look at the dot com", "look at example.com", "we met at noon. dot", "one two three",
                                   "at", "@", "straße é à ñ", "home at last dot dot dot"])
 def test_clean_texts_stay_clean(text):
