@@ -47,11 +47,14 @@ TOP_LABELS = frozenset("com org net edu gov mil int info biz io ai app dev co me
 _NO_LABEL = frozenset("the a an this that our your my his her their its".split())
 
 _ONE = "|".join(_DIGIT_WORDS)
-_SPELLED_RUN = re.compile(
-    rf"(?ai)(?<![a-z])(?:plus[\x20-])?(?:{_ONE})(?:(?:[\x20,-]{{1,2}}|\x20(?:dot|point)\x20)(?:{_ONE})){{3,}}(?![a-z])")
-_SPELLED_PART = re.compile(rf"(?ai)plus|dot|point|{_ONE}")
 _GAP = r"\s{0,3}"
 _DOT = rf"(?:\.|{_GAP}[\[({{<]{_GAP}(?:dot|\.){_GAP}[\])}}>]{_GAP}|\x20dot\x20)"
+_DIGIT_DOT = rf"{_GAP}[\[({{<]{_GAP}(?:dot|point|\.){_GAP}[\])}}>]{_GAP}|\x20(?:dot|point)\x20"
+# Digits in words and in signs, one after another: what is between them is a dot, or what numbers are grouped with.
+_DIGIT = rf"(?:(?:{_ONE})(?![a-z])|[0-9]++)"
+_DIGIT_CHAIN = re.compile(rf"(?ai)(?<![a-z0-9])(?:plus[\x20-])?{_DIGIT}(?:(?:{_DIGIT_DOT}|[\x20(),-]{{1,3}}|\.){_DIGIT})*+")
+_CHAIN_PART = re.compile(rf"(?ai)(?P<plus>plus[\x20-])|(?P<word>{_ONE})|(?P<number>[0-9]+)|(?P<dot>{_DIGIT_DOT})|"
+                         r"(?P<gap>[\x20(),.-]{1,3})")
 _AT = re.compile(rf"(?ai){_GAP}[\[({{<]{_GAP}(?:at|@){_GAP}[\])}}>]{_GAP}|\x20at\x20|@")
 _LABELS = re.compile(rf"(?ai)([a-z0-9-]{{1,63}})((?:{_DOT}[a-z0-9-]{{1,63}}){{1,8}})")
 _ONE_DOT = re.compile(rf"(?ai){_DOT}")
@@ -179,15 +182,29 @@ def look_alikes(text: str) -> Rewritten | None:
 
 
 def spelled_digits(text: str) -> Rewritten | None:
-    """Runs of four or more digits in words, with "plus" before and "dot" or "point" between."""
+    """Digits in words, four or more or beside other digits, with "plus" before, and dots in words or brackets between
+    digits. Gaps between words go; others stay, as single ones where they have a comma or are long."""
     edits = []
-    for m in _SPELLED_RUN.finditer(text):
-        signs, parts = [], []
-        for p in _SPELLED_PART.finditer(text, m.start(), m.end()):
-            word = p[0].lower()
-            signs.append("+" if word == "plus" else _DIGIT_WORDS.get(word, "."))
-            parts.append(p.span())
-        edits.append((m.start(), m.end(), "".join(signs), parts))
+    for m in _DIGIT_CHAIN.finditer(text):
+        if m[0].isdigit():
+            continue
+        parts = [(p.lastgroup, *p.span()) for p in _CHAIN_PART.finditer(text, m.start(), m.end())]
+        kinds = [p[0] for p in parts]
+        spelled = kinds.count("word") > (0 if "number" in kinds else 3)
+        for k, (kind, start, end) in enumerate(parts):
+            if kind == "dot":
+                edits.append((start, end, ".", None))
+            elif spelled and kind == "word":
+                edits.append((start, end, _DIGIT_WORDS[text[start:end].lower()], None))
+            elif spelled and kind == "plus":
+                edits.append((start, end, "+", None))
+            elif spelled and kind == "gap":
+                words = (kinds[k - 1] == "word") + (kinds[k + 1] == "word")
+                gap = text[start:end]
+                if words == 2 and end - start < 3 and not set(gap) & set("()."):
+                    edits.append((start, end, "", None))
+                elif words and ("," in gap or end - start > 1 and not set(gap) & set("()")):
+                    edits.append((start, end, " ", None))
     return Rewritten(text, edits) if edits else None
 
 

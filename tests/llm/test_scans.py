@@ -121,6 +121,30 @@ def test_disguises_around_plain_matches(text, base, value):
     assert {(k, text[a:b]) for k, a, b in pii.scan_text(text)} == {("email", base), ("email", value)}
 
 
+@pytest.mark.parametrize("kind,value", [
+    ("ip", "192[.]168[.]1[.]10"), ("ip", "192 dot 168 dot 1 dot 10"), ("ip", "192 (dot) 168.1 [dot] one zero"),
+    ("ip", "10.0.zero.seven"), ("phone", "+1 five five five 123 4567"), ("phone", "+1 (five five five) 123-4567"),
+    ("phone", "plus 1 five five five, 123 four 567"), ("card", "four one one one 1111 one 111 1111"),
+    ("card", "4111-1111-1111-one one one one"),
+])
+def test_words_and_digits_mixed(kind, value):
+    text = f"see {value} there"
+    assert [(k, text[a:b]) for k, a, b in pii.scan_text(text)] == [(kind, value)]
+
+
+@pytest.mark.parametrize("text", ["999 dot 168 dot 1 dot 10", "3 point 5", "one 4111 two", "chapter one, 2023 and 5 [dot] 7",
+                                  "stone 192 dot com", "phone 12 and one 345"])
+def test_other_digits_stay_clean(text):
+    assert pii.scan_text(text) == []
+
+
+def test_long_mixed_chains_take_linear_time():
+    for piece in ("one 1 ", "1 dot ", "1[.]", "plus 1 one ", "1 (", "one((", "4111 one one one one "):
+        start = time.process_time()
+        pii.scan_text(piece * (200_000 // len(piece)))
+        assert time.process_time() - start < 20, piece
+
+
 @pytest.mark.parametrize("text", ["look at the dot com", "look at example.com", "we met at noon. dot", "one two three",
                                   "at", "@", "straße é à ñ", "home at last dot dot dot"])
 def test_clean_texts_stay_clean(text):
