@@ -1,6 +1,6 @@
 """Secrets in texts: patterns, and encoded keys and signed tokens that are reported only when their structure holds.
 
-A candidate run of base64 or hex characters is decoded and parsed. A private key counts when its tags and nested
+A candidate run of base64 or hex characters, or several on following lines, is decoded and parsed. A private key counts when its tags and nested
 lengths fill the bytes exactly and its fields are those of a known key form; a token counts when its header is a JSON
 object that names an algorithm. Long random strings and encoded pictures therefore stay unreported.
 """
@@ -11,6 +11,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates of the structural check. Shorter runs cannot hold a private key.
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{56,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
+# Runs on following lines, also where the break is written out; hex pairs also with colons or spaces between them.
+_BREAK = r"(?:\r?\n[\x20\t]*+|(?:\\r)?\\n)"
+_BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_HEX_PAIRS = r"(?:[0-9A-Fa-f]{2})++(?![0-9A-Fa-f])"
+_HEX_LINES = re.compile(rf"(?<![0-9A-Fa-f]){_HEX_PAIRS}(?:(?::?{_BREAK}|[:\x20]){_HEX_PAIRS})++")
+_BASE64_GAP, _HEX_GAP = re.compile(_BREAK), re.compile(rf":?{_BREAK}|[:\x20]")
+_BASE64_HEADS, _HEX_HEADS = ("M", "b3BlbnNzaC1rZXk", "LS0tLS1CRUdJTi"), ("30", "6f70656e7373682d", "2d2d2d2d2d424547")
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
 _PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/=]+")
@@ -87,11 +95,14 @@ def _der_key(data: bytes) -> bool:
     return False
 
 
-def _ssh_key(data: bytes) -> bool:
-    """Three length-prefixed names, a key count of at least one, then that many public keys and one private block."""
+def _ssh_size(data: bytes) -> int:
+    """Three length-prefixed names, a key count of at least one, then that many public keys and one private block.
+
+    Their bytes, or 0 for something else.
+    """
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return 0
     at, sizes = len(magic), []
 
     def skip() -> bool:
@@ -104,9 +115,9 @@ def _ssh_key(data: bytes) -> bool:
         return True
 
     if not all(skip() for _ in range(3)):
-        return False
+        return 0
     keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
-    return 1 <= keys <= 16 and all(skip() for _ in range(keys + 1)) and sizes[-1] >= 16
+    return at if 1 <= keys <= 16 and all(skip() for _ in range(keys + 1)) and sizes[-1] >= 16 else 0
 
 
 def _from_base64(run: str) -> bytes | None:
@@ -120,7 +131,7 @@ def _from_base64(run: str) -> bytes | None:
 def _holds_key(data: bytes | None, nested: bool = True) -> bool:
     if not data:
         return False
-    if data[0] == _SEQUENCE and _der_key(data) or data.startswith(b"openssh-key") and _ssh_key(data):
+    if data[0] == _SEQUENCE and _der_key(data) or _ssh_size(data):
         return True
     if nested and b"PRIVATE KEY-----" in data:  # an armoured key that was encoded once more
         try:
@@ -150,6 +161,53 @@ def _armoured(text: str):
             at = begin.end()
 
 
+def _key_size(head: bytes, rest) -> int:
+    """Bytes of the value that starts with ``head``; ``rest`` gives all that follows, for forms without a length."""
+    if head[:1] == b"\x30" and len(head) > 5:
+        size = head[1] & 0x7F if head[1] >= 0x80 else 0
+        return 2 + size + (int.from_bytes(head[2:2 + size], "big") if size else head[1]) if size <= 4 else 0
+    if head.startswith(b"open"):
+        return _ssh_size(rest())
+    if head.startswith(b"-----B"):
+        span = next(_armoured(rest().decode("latin-1")), None)
+        return span[1] if span and span[0] == 0 else 0
+    return 0
+
+
+def _wrapped(text: str, chain: re.Match, gap: re.Pattern, hexadecimal: bool) -> Iterator[tuple[int, int]]:
+    """Spans of keys from the start of one run to the end of a later one."""
+    at, runs = chain.start(), []
+    for g in gap.finditer(text, chain.start(), chain.end()):
+        runs.append((at, g.start()))
+        at = g.end()
+    runs.append((at, chain.end()))
+    joined = "".join(text[a:b] for a, b in runs).rstrip("=")
+    starts, ends, size = [], {}, 0
+    for k, (a, b) in enumerate(runs):
+        starts.append(size)
+        size = min(size + b - a, len(joined))
+        ends[size] = k
+    heads = _HEX_HEADS if hexadecimal else _BASE64_HEADS
+
+    def decoded(a: int, b: int) -> bytes:
+        whole = joined[a:b]
+        if hexadecimal:
+            return bytes.fromhex(whole[:len(whole) // 2 * 2])
+        return _from_base64(whole[:-1] if len(whole) % 4 == 1 else whole) or b""
+
+    done = 0
+    for k, start in enumerate(starts):
+        if start < done or not joined[start:start + 16].lower().startswith(heads) and not joined.startswith(heads, start):
+            continue
+        need = _key_size(decoded(start, start + 16), lambda start=start: decoded(start, len(joined)))
+        end = start + (need * 2 if hexadecimal else (need * 8 + 5) // 6)
+        if need and end not in ends:  # the line break behind an armoured key
+            end = next((e for e in (end + n for n in range(1, 5)) if e in ends and not decoded(start, e)[need:].strip()), 0)
+        if need and ends.get(end, -1) > k and _holds_key(decoded(start, end)):
+            done = end
+            yield runs[k][0], runs[ends[end]][1]
+
+
 def _json_object(segment: str) -> dict | None:
     data = _from_base64(segment)
     try:
@@ -200,6 +258,11 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     for m in _HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0 and _holds_key(bytes.fromhex(m[0])):
             spans.append(("key", *m.span()))
+    for pattern, gap, least in ((_BASE64_LINES, _BASE64_GAP, 56), (_HEX_LINES, _HEX_GAP, 80)):
+        for m in pattern.finditer(text):
+            if m.end() - m.start() >= least:
+                spans += [("key", *span) for span in _wrapped(text, m, gap, pattern is _HEX_LINES)
+                          if not any(a < span[1] and span[0] < b for a, b in armoured)]
     if "eyJ" in text:
         spans += [("jwt", *span) for span in _tokens(text)]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -88,6 +88,33 @@ def test_structures_are_confirmed():
         assert not [s for s in secrets.scan_text(text) if s[0] in secrets.METHOD_KINDS], text[:60]
 
 
+def test_wrapped_keys_without_armour():
+    rng = random.Random(5)
+    for key in (_rsa(rng), _ssh(), _rsa(rng)):
+        plain, pairs = base64.b64encode(key).decode(), key.hex(":").split(":")
+        cut = [plain[k:k + 64] for k in range(0, len(plain), 64)]
+        hexed = [":".join(pairs[k:k + 15]) for k in range(0, len(pairs), 15)]
+        armour = f"-----BEGIN RSA PRIVATE KEY-----\n{plain}\n-----END RSA PRIVATE KEY-----\n"
+        values = ["\n".join(cut), "\r\n    ".join(cut), "\\n".join(cut), base64.encodebytes(key).decode().rstrip("\n"),
+                  base64.encodebytes(armour.encode()).decode().rstrip("\n"), ":".join(pairs), " ".join(pairs).upper(),
+                  ":\n    ".join(hexed), "\n".join(key.hex()[k:k + 60] for k in range(0, 2 * len(key), 60))]
+        for value in values:
+            for before, after in (("key: ", " add a face"), ("be see\nMAIN\n", "\nand more\n"), ("", "\n-----END RSA PRIVATE KEY-----")):
+                text = f"{before}{value}{after}"
+                found = [text[a:b] for kind, a, b in secrets.scan_text(text) if kind == "key"]
+                assert found == [value], (value[:70], before, after)
+                clean = secrets._redacted(text)["clean"]
+                assert len(clean) < len(before) + len(after) + 20 and "removed]" in clean
+    noise = base64.encodebytes(rng.randbytes(900)).decode()
+    for text in (noise, rng.randbytes(900).hex(":"), base64.encodebytes(key[:-1]).decode(), "MAIN\n" * 50):
+        assert not [s for s in secrets.scan_text(text) if s[0] == "key"], text[:60]
+    for piece in ("M\n", "MA\n", "30:", "30 82 ", "a\n", "ab\n", "MIIEowIBAAKC\n", "b3BlbnNzaC1rZXktdjEA\n"):
+        text = piece * (200_000 // len(piece))
+        start = time.process_time()
+        secrets.scan_text(text)
+        assert time.process_time() - start < 20, piece
+
+
 def test_personal_data_equals_plain_patterns():
     rng = random.Random(3)
     for _ in range(8000):
