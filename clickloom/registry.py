@@ -12,7 +12,7 @@ from clickloom.functions import device as dev
 from clickloom.functions import geo, net, numbers, secure, text, web
 from clickloom.operators import attribution, browse, quality, routing, security, stats, tables
 from clickloom.sources import derived, params, postbacks, requests, service_log
-from clickloom.plans.workspace import work_folder
+from clickloom.plans.workspace import staged, work_folder
 from clickloom.sources.derived import read
 from clickloom.streaming import jobs, sinks
 
@@ -368,14 +368,18 @@ def retention_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         "audit_log": logs.select("id", F.col("ts").alias("created_at")),
     }
     columns = {name: ts for name, ts, _ in tables.RETENTION_DAYS}
-    # Tables of one month go through storage. The order tables have some thousand dates, which would go one by one.
-    event_tables = {"postback_security_log", "failed_login_attempts", "traffic_logs"}
+    # Tables of one month are stored by date. The order tables have some thousand dates, which would go one by one: their
+    # kept rows become a new snapshot.
+    event_tables = {"postback_security_log", "failed_login_attempts", "traffic_logs", "audit_log"}
     out = None
     for name, df in given.items():
         def split(t, name=name):
             return tables.apply_policy({name: t}, EVENTS_NOON)[name]
 
-        stored = _after(df, split, columns[name]) if name in event_tables else split(df).kept
+        if name in event_tables:
+            stored = _after(df, split, columns[name])
+        else:
+            stored = staged(split(staged(df, name)).kept, f"{name}_kept")
         kept = stored.agg(
             F.lit(name).alias("name"), F.count(F.lit(1)).alias("kept"), F.min(columns[name]).alias("oldest"))
         out = kept if out is None else out.unionByName(kept)

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from clickloom import registry
 from clickloom.operators import tables
 from clickloom.plans.pruning import since
 from clickloom.sources import derived
@@ -152,3 +153,9 @@ def test_days_are_taken_as_given():
     assert tables.retention_cutoff(400, 0) == -400 * 86400
     with pytest.raises(ValueError):
         tables.retention_cutoff(0, 0)
+
+
+def test_policy_reads_stored_tables_only(spark, sf_dir):
+    """Every table of the policy is cut in storage: nothing is counted from the given tables."""
+    files = registry.queries()["retention_policy"](spark, sf_dir).inputFiles()
+    assert files and not [f for f in files if f"{sf_dir}/" in f]
