@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
-    contamination, conversations, packing, pii, piece_counts, quality, resharding, secrets, simhash, token_files, tokens)
+    contamination, conversations, packing, pii, piece_counts, quality, resharding, secrets, simhash, token_files, tokens, warc)
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
+# Pages carry no capture time; each counts as captured this second plus its id.
+FIRST_CAPTURE = 1_700_000_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +69,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(quality.judge(_table(spark, sf_dir, "documents")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0))
+    pages = _table(spark, sf_dir, "pages").withColumn("captured_at", second)
+    return warc.captures_digest(warc.capture_histories(pages, time_col="captured_at"))
+
+
 _QUERIES = (op1_secret_scan, op2_personal_data, op3_simhash, op4_token_files, op5_chat_format, op6_resharding,
-            op7_token_counts, op8_decontamination, op9_packing, op10_quality_rules)
+            op7_token_counts, op8_decontamination, op9_packing, op10_quality_rules, op11_warc)
 
 
 def queries() -> dict[str, Query]:
@@ -76,4 +84,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": conversations.rendering_sql(), "op10_quality_rules": quality.quality_sql()}
+    return {"op5_chat_format": conversations.rendering_sql(), "op10_quality_rules": quality.quality_sql(),
+            "op11_warc": warc.captures_sql(FIRST_CAPTURE)}
