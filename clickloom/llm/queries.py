@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
-    contamination, conversations, packing, pii, piece_counts, quality, resharding, secrets, simhash, token_files, tokens, warc)
+    contamination, conversations, packing, pii, piece_counts, prefix_trie, quality, resharding, secrets, simhash, token_files,
+    tokens, warc)
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 # Pages carry no capture time; each counts as captured this second plus its id.
@@ -75,8 +76,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures_digest(warc.capture_histories(pages, time_col="captured_at"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 _QUERIES = (op1_secret_scan, op2_personal_data, op3_simhash, op4_token_files, op5_chat_format, op6_resharding,
-            op7_token_counts, op8_decontamination, op9_packing, op10_quality_rules, op11_warc)
+            op7_token_counts, op8_decontamination, op9_packing, op10_quality_rules, op11_warc, op12_prefix_trie)
 
 
 def queries() -> dict[str, Query]:
@@ -85,4 +90,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_chat_format": conversations.rendering_sql(), "op10_quality_rules": quality.quality_sql(),
-            "op11_warc": warc.captures_sql(FIRST_CAPTURE)}
+            "op11_warc": warc.captures_sql(FIRST_CAPTURE), "op12_prefix_trie": prefix_trie.trie_sql()}
