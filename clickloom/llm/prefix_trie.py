@@ -25,6 +25,8 @@ _BLOCK = 1024
 _ENDS_PER_CHUNK = 4096
 # Leading characters of role and text that decide between turns of one number, before their hashes do.
 _LEAD = 64
+# Parents with more than one in so many of all children are looked up by a broadcast; there are fewer than this.
+_BUSY = 1000
 _KEY = ["depth", "x1", "x2"]
 
 
@@ -191,6 +193,24 @@ def ends_digests(whole: DataFrame) -> DataFrame:
 # --- the trie ------------------------------------------------------------------------------------------------------
 
 
+def _parents(nodes: DataFrame) -> DataFrame:
+    """``up_conv_id``, the smallest member of the parent, of the nodes where the path of their own smallest member begins.
+
+    Along that path a node's parent has the same smallest member, so nothing else is looked up. Children counts add up
+    to the number of nodes, so at most ``_BUSY`` parents have a share of 1 / ``_BUSY`` of them; those are broadcast, and
+    each of the others meets one task with few rows.
+    """
+    branches = nodes.where("depth > 0 and depth = own_depth").select(*_KEY, (F.col("depth") - 1).alias("up"), "y1", "y2")
+    above = nodes.where("n_children > 0").select(
+        F.col("depth").alias("up"), F.col("x1").alias("y1"), F.col("x2").alias("y2"), F.col("conv_id").alias("up_conv_id"),
+        "n_children")
+    many = F.col("n_children") * _BUSY >= nodes.count()
+    busy = F.broadcast(above.where(many).drop("n_children"))
+    met = branches.join(busy, ["up", "y1", "y2"], "left")
+    rest = met.where("up_conv_id is null").drop("up_conv_id").join(above.where(~many), ["up", "y1", "y2"])
+    return met.where("up_conv_id is not null").select(*_KEY, "up_conv_id").unionByName(rest.select(*_KEY, "up_conv_id"))
+
+
 def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     """One row per distinct prefix of the conversations: ``conv_id`` (smallest member), ``depth``, ``parent_conv_id``,
     ``n_convs``, ``n_children``, ``n_leaves``, ``saved_tokens`` and ``ends_sha256``.
@@ -224,17 +244,15 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     below = nodes.where("depth > 0")
     children = below.groupBy((F.col("depth") - 1).alias("depth"), F.col("y1").alias("x1"), F.col("y2").alias("x2")).agg(
         F.count("*").alias("n_children"))
-    # Along its own path a node's parent has the same smallest member; only where the path begins it has another one.
-    branches = below.where("depth = own_depth").select(*_KEY, (F.col("depth") - 1).alias("up"), "y1", "y2")
-    above = nodes.select(F.col("depth").alias("up"), F.col("x1").alias("y1"), F.col("x2").alias("y2"),
-                         F.col("conv_id").alias("up_conv_id"))
-    parents = branches.join(above, ["up", "y1", "y2"]).select(*_KEY, "up_conv_id")
+    nodes = staged(nodes.join(children, _KEY, "left").withColumn(
+        "n_children", F.coalesce("n_children", F.lit(0)).cast("bigint")), "nodes_children")
+    parents = _parents(nodes)
     parent = F.when(F.col("depth") == 0, F.lit(None)).when(F.col("depth") == F.col("own_depth"), F.col("up_conv_id")).otherwise(
         F.col("conv_id"))
-    found = nodes.join(children, _KEY, "left").join(parents, _KEY, "left").join(ends_digests(whole), _KEY, "left")
+    found = nodes.join(parents, _KEY, "left").join(ends_digests(whole), _KEY, "left")
     return found.select(
         "conv_id", "depth", parent.cast("bigint").alias("parent_conv_id"), "n_convs",
-        F.coalesce("n_children", F.lit(0)).cast("bigint").alias("n_children"), "n_leaves", "saved_tokens",
+        "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
 
 
