@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
-    contamination, conversations, packing, pii, piece_counts, prefix_trie, quality, resharding, secrets, simhash, token_files,
-    tokens, warc)
+    contamination, conversations, packing, pii, piece_counts, prefix_trie, quality, ranked_search, resharding, secrets, simhash,
+    token_files, tokens, warc)
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 # Pages carry no capture time; each counts as captured this second plus its id.
@@ -80,8 +80,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 _QUERIES = (op1_secret_scan, op2_personal_data, op3_simhash, op4_token_files, op5_chat_format, op6_resharding,
-            op7_token_counts, op8_decontamination, op9_packing, op10_quality_rules, op11_warc, op12_prefix_trie)
+            op7_token_counts, op8_decontamination, op9_packing, op10_quality_rules, op11_warc, op12_prefix_trie,
+            op13_ranked_search)
 
 
 def queries() -> dict[str, Query]:
@@ -90,4 +95,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_chat_format": conversations.rendering_sql(), "op10_quality_rules": quality.quality_sql(),
-            "op11_warc": warc.captures_sql(FIRST_CAPTURE), "op12_prefix_trie": prefix_trie.trie_sql()}
+            "op11_warc": warc.captures_sql(FIRST_CAPTURE), "op12_prefix_trie": prefix_trie.trie_sql(),
+            "op13_ranked_search": ranked_search.search_sql()}
