@@ -33,6 +33,7 @@ _CHUNK = 1 << 16
 _RECORD_ID = "urn:capture:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URL = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]*)([^#]*)")
+_PORT = re.compile(r":[0-9]*$")
 _DEFAULT_PORTS = {"http": ":80", "https": ":443"}
 _MANIFEST = "file string, n_records bigint, n_bytes bigint"
 _CAPTURE = ("url_key string, captured_at bigint, page_id bigint, payload_digest string, file string, at bigint, "
@@ -60,8 +61,11 @@ def url_key(url: str | None) -> str:
     if not found:
         return url or ""
     scheme, host, rest = found.groups()
-    host = host.lower().removesuffix(_DEFAULT_PORTS.get(scheme.lower(), "\0"))
-    return ",".join(reversed(host.split("."))) + ")" + (rest if rest.startswith("/") else "/" + rest)
+    name = _PORT.sub("", host.lower())
+    port = host[len(name):]
+    if port in ("", ":", _DEFAULT_PORTS.get(scheme.lower())):
+        port = ""
+    return ",".join(reversed(name.split("."))) + port + ")" + (rest if rest.startswith("/") else "/" + rest)
 
 
 def _stamp(second: int) -> str:
@@ -373,8 +377,9 @@ WITH p AS (
 k AS (
   SELECT *, min(page_id) OVER (PARTITION BY hex, strlen(html)) AS owner,
     CASE WHEN u.scheme = '' THEN url ELSE
-      array_to_string(list_reverse(string_split(regexp_replace(lower(u.host),
-        CASE lower(u.scheme) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, ''), '.')), ',')
+      array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), ':[0-9]*$', ''), '.')), ',')
+      || regexp_replace(regexp_extract(u.host, ':[0-9]*$'),
+        CASE lower(u.scheme) WHEN 'http' THEN '^:(80)?$' WHEN 'https' THEN '^:(443)?$' ELSE '^:$' END, '')
       || ')' || CASE WHEN u.rest LIKE '/%' THEN '' ELSE '/' END || u.rest END AS url_key,
     array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       1 + CAST((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS digest
