@@ -1,16 +1,16 @@
 """Sinks, keyed changes, deletion and retention.
 
 Parquet tables have no row updates. A change gives the rows that stay and the rows that go; ``apply_split`` then makes
-a date-partitioned table on disk agree, touching only the dates that lose rows.
+the table on disk agree, touching only the partitions that lose rows.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.geo import is_country
@@ -20,6 +20,7 @@ from clickloom.functions.text import empty_to_null, matches, sanitize
 from clickloom.plans.keyed import latest_per_key
 from clickloom.plans.lookup import fits_broadcast
 from clickloom.plans.pruning import DATE_COLUMN, DAY, midnight, since, with_date
+from clickloom.plans.swap import replace
 
 # Table, time column, days kept.
 RETENTION_DAYS = (
@@ -89,16 +90,23 @@ def append_dated(
     """Append to a table partitioned by UTC date (not so if ``dated`` is false: for few rows over very many dates).
 
     Rows of a date are gathered by a rebalance, which splits a date that holds most rows over several files. With a
-    ``batch_id`` the table is also partitioned by it, and a job that runs again with the same id replaces its own rows.
+    ``batch_id`` (letters, digits, ``_`` and ``-``) a batch has one folder, with its dates inside, and a job that runs
+    again with the same id replaces all rows of its batch, also with rows of other dates or with none. Either all
+    batches of a table have an id or none has.
     """
-    parts = [DATE_COLUMN] * dated + [BATCH_COLUMN] * (batch_id is not None)
     rows = with_date(df, ts).hint("rebalance", DATE_COLUMN) if dated else df
     if batch_id is None:
-        writer = rows.write.mode("append")
-    else:
-        rows = rows.withColumn(BATCH_COLUMN, F.lit(batch_id))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.option("compression", compression).partitionBy(*parts).parquet(path)
+        rows.write.mode("append").option("compression", compression).partitionBy(*[DATE_COLUMN] * dated).parquet(path)
+        return
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
+        raise ValueError(f"not a batch id: {batch_id}")
+    unit = f"{BATCH_COLUMN}={batch_id}"
+
+    def write(folder: str) -> None:
+        target = rows.write.option("compression", compression)
+        target.partitionBy(*[DATE_COLUMN] * dated).parquet(f"{folder}/{unit}")
+
+    replace(df.sparkSession, path, write, [unit])
 
 
 def append_traffic(df: DataFrame, path: str, batch_id: str | None = None, dated: bool = True) -> None:
@@ -119,35 +127,54 @@ def replace_dates(df: DataFrame, path: str) -> None:
     writer.partitionBy(DATE_COLUMN).parquet(path)
 
 
+def _unit(parts: list[str], values: tuple) -> str:
+    return "/".join(f"{p}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for p, v in zip(parts, values, strict=True))
+
+
+def _in_partitions(parts: list[str], values: list[tuple]) -> Column:
+    """Rows of the listed partitions; the last part is a list per value of the parts before it."""
+    groups: dict[tuple, list] = {}
+    for v in values:
+        groups.setdefault(v[:-1], []).append(v[-1])
+    hit = F.lit(False)
+    for head, tails in groups.items():
+        known = [t for t in tails if t is not None]
+        test = F.col(parts[-1]).isin(known) if known else F.lit(False)
+        if len(known) < len(tails):
+            test = test | F.col(parts[-1]).isNull()
+        for part, value in zip(parts, head, strict=False):
+            test = test & F.col(part).eqNullSafe(F.lit(value))
+        hit = hit | test
+    return hit
+
+
 def apply_split(split: Split, path: str) -> int:
-    """Make the dated table at ``path``, from which the split was read, hold the kept rows only.
+    """Make the table at ``path``, from which the split was read, hold the kept rows only.
 
-    Dates that lose rows are written anew beside the table first; then each is deleted and, where rows remain, put in
-    place by a rename. Dates that lose none are not touched, dates that lose all are only deleted. Returns the number of
-    dates changed. A job that breaks off between two dates is repeated: a date already changed loses nothing more.
+    Partitions (by batch and date, as far as the table has them) that lose rows are written anew beside the table and
+    swapped in; the others are not touched. A table without partitions is written anew as a whole, if it loses any row.
+    A job that breaks off at any step leaves all old or all new rows, once ``plans.swap.recover``, or the next change of
+    the table, has run. Returns the number of partitions changed.
     """
     spark = split.kept.sparkSession
-    dates = [r[0] for r in split.removed.select(DATE_COLUMN).distinct().collect()]  # one value per date
-    if not dates:
+    parts = [c for c in (BATCH_COLUMN, DATE_COLUMN) if c in split.kept.columns]
+
+    def write(rows: DataFrame, folder: str) -> None:
+        rows.write.option("compression", "zstd").partitionBy(*parts).parquet(folder)
+
+    if not parts:
+        if split.removed.isEmpty():
+            return 0
+        replace(spark, path, lambda folder: write(split.kept, folder))
+        return 1
+    changed = [tuple(r) for r in split.removed.select(*parts).distinct().collect()]  # one row per partition
+    if not changed:
         return 0
-    known = [d for d in dates if d is not None]
-    hit = F.col(DATE_COLUMN).isin(known) if known else F.lit(False)
-    if None in dates:
-        hit = hit | F.col(DATE_COLUMN).isNull()
-    parts = [c for c in (DATE_COLUMN, BATCH_COLUMN) if c in split.kept.columns]
-    fresh = f"{path.rstrip('/')}_next_{uuid.uuid4().hex[:12]}"
-    split.kept.where(hit).hint("rebalance", DATE_COLUMN).write.option("compression", "zstd").partitionBy(*parts).parquet(fresh)
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for d in dates:
-        name = f"{DATE_COLUMN}={d or '__HIVE_DEFAULT_PARTITION__'}"
-        old, new = folder(path, name), folder(fresh, name)
-        files.delete(old, True)
-        if files.exists(new):
-            files.rename(new, old)
-    files.delete(folder(fresh), True)
-    spark.catalog.refreshByPath(path)
-    return len(dates)
+    kept = split.kept.where(_in_partitions(parts, changed))
+    if DATE_COLUMN in parts:
+        kept = kept.hint("rebalance", *parts)
+    replace(spark, path, lambda folder: write(kept, folder), [_unit(parts, c) for c in changed])
+    return len(changed)
 
 
 def to_json_rows(df: DataFrame, column: str = "json", escape_slashes: bool = True) -> DataFrame:

@@ -206,10 +206,11 @@ def oracle_sql() -> dict[str, str]:
 
     texts = {
         "scan_tables": """
-SELECT 'logs' AS name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM v_logs
-UNION ALL SELECT 'postback_received', count(*), min(ts), max(ts) FROM v_received
-UNION ALL SELECT 'postback_logs', count(*), min(ts), max(ts) FROM v_sent
-UNION ALL SELECT 'failed_login_attempts', count(*), min(attempted_at), max(attempted_at) FROM v_fails""",
+SELECT 'logs' AS name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, 7 * count(*) + count(country_code) AS filled
+FROM v_logs
+UNION ALL SELECT 'postback_received', count(*), min(ts), max(ts), 8 * count(*) FROM v_received
+UNION ALL SELECT 'postback_logs', count(*), min(ts), max(ts), 6 * count(*) + count(country_code) FROM v_sent
+UNION ALL SELECT 'failed_login_attempts', count(*), min(attempted_at), max(attempted_at), 3 * count(*) FROM v_fails""",
         "ingest_decisions": """
 SELECT id, CASE WHEN bad THEN '' ELSE click_id END AS click_id,
   CASE WHEN bad OR country_code IS NULL THEN 'XX' ELSE replace(country_code, ' ', '') END AS country_code,

@@ -12,8 +12,10 @@ from clickloom.functions import device as dev
 from clickloom.functions import geo, net, numbers, secure, text, web
 from clickloom.operators import attribution, browse, quality, routing, security, stats, tables
 from clickloom.sources import derived, params, postbacks, requests, service_log
-from clickloom.plans.workspace import staged, work_folder
+from clickloom.plans.workspace import work_folder
+from clickloom.schemas import schema_of
 from clickloom.sources.derived import read
+from clickloom.sources.tables import load
 from clickloom.streaming import jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,23 +91,18 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.decide(derived.requests(spark, sf_dir), SETTINGS, _reputation(spark, sf_dir))
 
 
-def _store(df: DataFrame, ts: str = "ts", dated: bool = True) -> str:
-    """Folder of a table that holds the rows."""
-    path = f"{work_folder(df.sparkSession, 'stored')}/table"
-    tables.append_dated(df, path, ts, batch_id="first", dated=dated)
-    return path
+def _store(df: DataFrame, name: str, ts: str = "ts", dated: bool = True) -> str:
+    """New folder of stored tables, with one of this name that holds the rows."""
+    folder = work_folder(df.sparkSession, "stored")
+    tables.append_dated(df, f"{folder}/{name}", ts, batch_id="first", dated=dated)
+    return folder
 
 
-def _load(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(f"{_ddl(like)}, dt date, batch_id string").parquet(path)
-
-
-def _after(df: DataFrame, split, ts: str = "ts") -> DataFrame:
-    """The rows of a stored table, read back after a split of it was applied."""
-    path = _store(df, ts)
-    stored = _load(df.sparkSession, path, df)
-    tables.apply_split(split(stored), path)
-    return _load(df.sparkSession, path, df).select(*df.columns)
+def _after(df: DataFrame, name: str, split, ts: str = "ts", dated: bool = True) -> DataFrame:
+    """The rows of a stored table, read back with its declared schema after a split of it was applied in place."""
+    folder = _store(df, name, ts, dated)
+    tables.apply_split(split(load(df.sparkSession, folder, name)), f"{folder}/{name}")
+    return load(df.sparkSession, folder, name).select(*[c for c in df.columns if c in schema_of(name)])
 
 
 # --- sources -------------------------------------------------------------------------------------------------------
@@ -113,16 +110,19 @@ def _after(df: DataFrame, split, ts: str = "ts") -> DataFrame:
 
 @_register
 def scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table stored once and read with its declared schema; ``filled`` counts values of all declared columns."""
     found = {
-        "logs": (derived.logs(spark, sf_dir), "ts"),
-        "postback_received": (derived.received(spark, sf_dir), "ts"),
-        "postback_logs": (derived.sent(spark, sf_dir), "ts"),
-        "failed_login_attempts": (derived.failed_logins(spark, sf_dir), "attempted_at"),
+        "logs": (derived.logs(spark, sf_dir), "ts", True),
+        "postback_received": (derived.received(spark, sf_dir), "ts", False),
+        "postback_logs": (derived.sent(spark, sf_dir), "ts", False),
+        "failed_login_attempts": (derived.failed_logins(spark, sf_dir), "attempted_at", True),
     }
     out = None
-    for name, (df, ts) in found.items():
-        df = _load(spark, _store(df, ts, dated=not name.startswith("postback")), df)
-        line = df.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    for name, (df, ts, dated) in found.items():
+        stored = load(spark, _store(df, name, ts, dated), name)
+        filled = sum((F.count(c) for c in schema_of(name)), F.lit(0).cast("bigint"))
+        line = stored.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
+                          filled.alias("filled"))
         line = line.select(F.lit(name).alias("name"), "*")
         out = line if out is None else out.unionByName(line)
     return out
@@ -262,14 +262,13 @@ def scan_service_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _appended(append, rows: DataFrame, like: DataFrame, dated: bool = True) -> DataFrame:
-    """The stored rows after an append that ran twice: the second run replaces its own batch.
+    """The stored rows after an append.
 
     The order tables have few rows on each of some thousand dates, so they are stored undated.
     """
     path = f"{work_folder(rows.sparkSession, 'appended')}/table"
-    for _ in range(2):
-        append(rows, path, batch_id="first", dated=dated)
-    return _load(rows.sparkSession, path, like).select(*like.columns)
+    append(rows, path, batch_id="first", dated=dated)
+    return rows.sparkSession.read.schema(f"{_ddl(like)}, dt date, batch_id string").parquet(path).select(*like.columns)
 
 
 @_register
@@ -331,55 +330,49 @@ def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def delete_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = read(spark, sf_dir, "events").where("user_id % 5 = 0").select("event_id")
-    return _after(derived.logs(spark, sf_dir), lambda stored: tables.delete_by_ids(stored, ids))
+    return _after(derived.logs(spark, sf_dir), "logs", lambda stored: tables.delete_by_ids(stored, ids))
 
 
 @_register
 def clear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = derived.logs(spark, sf_dir)
-    path = _store(logs)
-    removed = tables.clear(_load(spark, path, logs)).removed_count().first()[0]
-    tables.apply_split(tables.clear(_load(spark, path, logs)), path)
-    left = _load(spark, path, logs).agg(F.count(F.lit(1)).alias("left"))
+    folder = _store(derived.logs(spark, sf_dir), "logs")
+    removed = tables.clear(load(spark, folder, "logs")).removed_count().first()[0]
+    tables.apply_split(tables.clear(load(spark, folder, "logs")), f"{folder}/logs")
+    left = load(spark, folder, "logs").agg(F.count(F.lit(1)).alias("left"))
     return left.select((F.lit(removed) - F.col("left")).alias("removed"))
 
 
 @_register
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = derived.logs(spark, sf_dir)
-    return _after(logs, lambda stored: tables.apply_retention(stored, "ts", 7, EVENTS_NOW))
+    return _after(derived.logs(spark, sf_dir), "logs", lambda stored: tables.apply_retention(stored, "ts", 7, EVENTS_NOW))
 
 
 @_register
 def retention_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _after(derived.logs(spark, sf_dir), lambda stored: tables.keep_today(stored, EVENTS_NOON))
+    return _after(derived.logs(spark, sf_dir), "logs", lambda stored: tables.keep_today(stored, EVENTS_NOON))
 
 
 @_register
 def retention_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven tables are stored, cut in place and read back. Tables of one month are stored by date, the order tables
+    with their thousands of dates undated."""
     logs = derived.logs(spark, sf_dir)
     given = {
-        "postback_security_log": logs.select("id", "ts", "ip"),
-        "failed_login_attempts": derived.failed_logins(spark, sf_dir),
-        "rate_limit_tracking": _limits(spark, sf_dir),
-        "traffic_logs": logs,
-        "postback_logs": derived.sent(spark, sf_dir),
-        "postback_received": derived.received(spark, sf_dir),
-        "audit_log": logs.select("id", F.col("ts").alias("created_at")),
+        "postback_security_log": (logs.select("id", "ts", "ip"), True),
+        "failed_login_attempts": (derived.failed_logins(spark, sf_dir), True),
+        "rate_limit_tracking": (_limits(spark, sf_dir), True),
+        "traffic_logs": (logs, True),
+        "postback_logs": (derived.sent(spark, sf_dir), False),
+        "postback_received": (derived.received(spark, sf_dir), False),
+        "audit_log": (logs.select("id", F.col("ts").alias("created_at")), True),
     }
     columns = {name: ts for name, ts, _ in tables.RETENTION_DAYS}
-    # Tables of one month are stored by date. The order tables have some thousand dates, which would go one by one: their
-    # kept rows become a new snapshot.
-    event_tables = {"postback_security_log", "failed_login_attempts", "traffic_logs", "audit_log"}
     out = None
-    for name, df in given.items():
+    for name, (df, dated) in given.items():
         def split(t, name=name):
             return tables.apply_policy({name: t}, EVENTS_NOON)[name]
 
-        if name in event_tables:
-            stored = _after(df, split, columns[name])
-        else:
-            stored = staged(split(staged(df, name)).kept, f"{name}_kept")
+        stored = _after(df, name, split, columns[name], dated)
         kept = stored.agg(
             F.lit(name).alias("name"), F.count(F.lit(1)).alias("kept"), F.min(columns[name]).alias("oldest"))
         out = kept if out is None else out.unionByName(kept)

@@ -49,6 +49,15 @@ SCHEMAS = {
     "users": "id int, username string, email string, is_active boolean, last_login_at bigint, created_at bigint",
 }
 
+# The decision log under its older name.
+SCHEMAS["traffic_logs"] = SCHEMAS["logs"]
+
+
+def schema_of(name: str) -> list[str]:
+    """Columns of a table in their declared order."""
+    return [part.split()[0] for part in SCHEMAS[name].replace("decimal(10,2)", "decimal").split(", ")]
+
+
 # Older column names of the decision log.
 TRAFFIC_LOG_NAMES = {"cid": "click_id", "cc": "country_code", "lp": "user_lp"}
 
