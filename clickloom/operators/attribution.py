@@ -13,10 +13,12 @@ from clickloom.plans.lookup import lookup_join
 def conversions(logs: DataFrame, postbacks: DataFrame) -> DataFrame:
     """Per country: distinct clicks, clicks whose latest postback is confirmed, conversion rate, confirmed payout.
 
-    Both sides are folded to unique click ids before they meet, so no click id can multiply rows.
+    A click id counts once, under the country of its first log row (by time, then id), so its payout counts once too.
+    Both sides are folded to unique click ids before they meet.
     """
-    country = F.coalesce(F.nullif("country_code", F.lit("")), F.lit(UNKNOWN_COUNTRY)).alias("country")
-    clicks = logs.where("click_id is not null").select(country, "click_id").distinct()
+    country = F.coalesce(F.nullif("country_code", F.lit("")), F.lit(UNKNOWN_COUNTRY))
+    clicks = logs.where("click_id is not null").groupBy("click_id").agg(
+        F.min_by(country, F.struct("ts", "id")).alias("country"))
     latest = latest_per_key(postbacks.select("click_id", "ts", "id", "status", "payout"), ["click_id"], ["ts", "id"])
     good = latest.where(F.col("status") == "confirmed").select("click_id", F.col("payout").alias("_payout"))
     per_country = clicks.join(good, "click_id", "left").groupBy("country").agg(

@@ -12,8 +12,7 @@ from clickloom.functions.device import device
 from clickloom.functions.geo import UNKNOWN_COUNTRY, country_allowed, is_country
 from clickloom.functions.net import is_public
 from clickloom.functions.text import trimmed
-from clickloom.functions.web import fallback_url, render_url, valid_url_text
-from clickloom.plans.barrier import computed_once
+from clickloom.functions.web import fallback_url, render_forward_url, render_url, valid_url_text
 from clickloom.plans.barrier import computed_once
 from clickloom.plans.lookup import lookup_join
 from clickloom.plans.pruning import utc_date
@@ -108,32 +107,63 @@ def outgoing(decisions: DataFrame, settings: Settings) -> DataFrame:
     return rows.where("postback_url is not null")
 
 
+def forwarded(postbacks: DataFrame, template: str) -> DataFrame:
+    """One URL per received postback that is passed on. Rows without a valid country or a valid URL are left out.
+
+    The values go into the template as they are, the payout without trailing zeros; the result is then checked like any
+    outgoing postback. An empty template forwards nothing.
+    """
+    if not template:
+        postbacks = postbacks.where(F.lit(False))
+    payout = F.col("payout").cast("decimal(10,2)")
+    plain = F.regexp_replace(payout.cast("string"), r"\.?0+$", "")
+    filled = render_forward_url(F.lit(template), *[F.coalesce(c, F.lit("")) for c in (
+        F.col("click_id"), F.col("status"), plain, F.col("country_code"), F.col("traffic_type"))])
+    url = render_url(filled, F.col("country_code"), F.coalesce("traffic_type", F.lit("")), payout)
+    rows = postbacks.select("id", "ts", "country_code", "traffic_type", payout.alias("payout"),
+                            computed_once(url).alias("postback_url"))
+    return rows.where("postback_url is not null")
+
+
+# More kinds of device than this, and rules for all pages are not broadcast.
+_MAX_KINDS = 1000
+
+
+def _packed(best: DataFrame, *keys: str) -> DataFrame:
+    """One row per key with its winners by country, at most one for each country code."""
+    return best.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_rule"))).alias("_rules"))
+
+
 def match_rules(clicks: DataFrame, rules: DataFrame) -> DataFrame:
     """Best active rule per click, null where none fits.
 
     Columns read: country_code, device_type, user_lp. A rule of the click's own country beats a global one, then the
-    higher priority wins, then the lower id. The rules are folded to one winner per (country, device, landing page),
-    so each click looks up at most four unique rows and is never multiplied or regrouped.
+    higher priority wins, then the lower id. The rules are folded to one winner per (country, device, landing page) and
+    packed by country, so a click finds all of its candidates in two rows: that of its device and page, by one lookup,
+    and that of its device alone, which is a broadcast of a few rows. No click is multiplied or regrouped.
     """
-    active = rules.where("is_active").select(
-        F.upper("country_code").alias("_country"), F.col("device_type").alias("_device"), F.col("user_lp").alias("_lp"),
+    active = rules.where("is_active and country_code is not null and device_type is not null").select(
+        F.upper("country_code").alias("_place"), F.col("device_type").alias("_kind"), F.col("user_lp").alias("_page"),
         F.struct(F.col("priority").alias("priority"), (-F.col("id")).alias("order"), F.col("id").alias("rule_id"),
                  F.col("rule_name").alias("rule_name"), F.col("redirect_url").alias("redirect_url")).alias("_rule"))
-    keyed = active.withColumn("_slot", F.concat_ws("\x1f", "_country", "_device", F.coalesce("_lp", F.lit("\x1e"))))
-    best = keyed.groupBy("_slot").agg(F.max("_rule").alias("_rule"))
-
-    country = F.coalesce(F.upper("country_code"), F.lit(UNKNOWN_COUNTRY))
-    wanted = clicks
-    spots = [(country, F.col("user_lp")), (country, F.lit(None)), (F.lit(UNKNOWN_COUNTRY), F.col("user_lp")),
-             (F.lit(UNKNOWN_COUNTRY), F.lit(None))]
-    for i, (place, page) in enumerate(spots):
-        slot = F.concat_ws("\x1f", place, F.coalesce("device_type", F.lit("")),
-                           F.coalesce(page.cast("string"), F.lit("\x1e")))
-        wanted = lookup_join(wanted.withColumn("_slot", slot), best.withColumnRenamed("_rule", f"_rule{i}"), "_slot")
-        wanted = wanted.drop("_slot")
-    own = F.greatest("_rule0", "_rule1")
-    world = F.greatest("_rule2", "_rule3")
-    chosen = wanted.withColumn("_rule", F.coalesce(own, world))
+    best = active.groupBy("_place", "_kind", "_page").agg(F.max("_rule").alias("_rule"))
+    kind = F.coalesce("device_type", F.lit(""))
+    slot = F.concat_ws("\x1f", F.col("_kind"), F.col("_page"))
+    paged = _packed(best.where("_page is not null").withColumn("_slot", slot), "_slot")
+    everywhere = _packed(best.where("_page is null"), "_kind").withColumnRenamed("_rules", "_general")
+    wanted = clicks.withColumns({
+        "_slot": F.when(F.col("user_lp").isNotNull(), F.concat_ws("\x1f", kind, F.col("user_lp"))), "_kind": kind})
+    wanted = lookup_join(wanted, paged, "_slot", clicks.columns).drop("_slot")
+    if everywhere.limit(_MAX_KINDS + 1).count() <= _MAX_KINDS:
+        wanted = wanted.join(F.broadcast(everywhere), "_kind", "left")
+    else:
+        wanted = lookup_join(wanted, everywhere, "_kind", clicks.columns)
+
+    def winner(place: Column) -> Column:
+        return F.greatest(F.col("_rules")[place], F.col("_general")[place])
+
+    own = winner(F.coalesce(F.upper("country_code"), F.lit(UNKNOWN_COUNTRY)))
+    chosen = wanted.withColumn("_rule", F.coalesce(own, winner(F.lit(UNKNOWN_COUNTRY))))
     return chosen.select(
         *clicks.columns, F.col("_rule.rule_id").alias("rule_id"), F.col("_rule.rule_name").alias("rule_name"),
         F.col("_rule.redirect_url").alias("redirect_url"))

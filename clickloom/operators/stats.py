@@ -161,6 +161,32 @@ def unique_countries(df: DataFrame) -> DataFrame:
     return named.select("country_code").distinct().orderBy("country_code")
 
 
+# Sketches have 2^12 registers; their relative standard error is about 1.04 / 64.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def daily_sketches(df: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
+    """One row per UTC day with a mergeable sketch of the distinct values of each column; null and empty values do not
+    count. Stored once, it answers any range of days without reading the log again."""
+    return df.groupBy(utc_date(F.col(ts)).alias("day")).agg(*[
+        F.hll_sketch_agg(F.nullif(F.col(c), F.lit("")), SKETCH_BITS).alias(c) for c in columns])
+
+
+def distinct_between(sketches: DataFrame, columns: list[str], first: str, last: str) -> DataFrame:
+    """Estimated distinct values over a range of days, both included."""
+    days = sketches.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return days.agg(*[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in columns])
+
+
+def trailing_distinct(sketches: DataFrame, columns: list[str], days: int) -> DataFrame:
+    """Estimated distinct values of each day together with the ``days - 1`` before it, for all days up to ``days - 1``
+    after the last one."""
+    ends = sketches.select("*", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("_k"))
+    ends = ends.withColumn("day", F.date_add("day", F.col("_k")))
+    return ends.groupBy("day").agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+
+
 def estimated_revenue(df: DataFrame, default_payout: Decimal) -> DataFrame:
     hits = F.count_if(F.col("decision") == "A").cast("decimal(18,0)")
     return df.agg((hits * F.lit(default_payout).cast("decimal(10,2)")).alias("revenue"))

@@ -218,17 +218,24 @@ def upsert(
     if key_pattern is not None:
         changes = changes.where(matches(F.col(key), key_pattern))
     last = latest_per_key(changes, [key], order)
-    keys = last.select(key)
-    if fits_broadcast(last):
-        # A few changes: the base is filtered and updated where it lies, without a shuffle.
-        keys, last = F.broadcast(keys), F.broadcast(last)
-    news = last.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in cols])
-    joined = base.join(news, key, "left")
-    updated = joined.select(*[
-        F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(base[c]).alias(c) if c in cols else F.col(c)
-        for c in base.columns])
-    known = base.select(key).join(keys, key, "left_semi").distinct()
-    added = last.join(known, key, "left_anti").select(*[c for c in base.columns if c in last.columns])
+    news = last.select(F.col(key).alias("_key"), F.lit(True).alias("_hit"),
+                       *[F.col(c).alias(f"_new_{c}") for c in last.columns if c != key and c in base.columns])
+
+    def value(c: str) -> Column:
+        if c == key:
+            return F.coalesce(key, "_key").alias(c)
+        if c in cols:
+            return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+        return F.when(F.col("_known").isNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in last.columns else F.col(c)
+
+    known = base.withColumn("_known", F.lit(True))
+    if not fits_broadcast(last):
+        # Both sides are unique on the key, so one outer join reads, moves and writes every row once.
+        return known.join(news, F.col(key) == F.col("_key"), "full").select(*[value(c) for c in base.columns])
+    # A few changes: the base is updated where it lies, without a shuffle, and its keys alone are read again.
+    updated = known.join(F.broadcast(news), F.col(key) == F.col("_key"), "left").select(*[value(c) for c in base.columns])
+    present = base.select(key).join(F.broadcast(last.select(key)), key, "left_semi").distinct()
+    added = last.join(present, key, "left_anti").select(*[c for c in base.columns if c in last.columns])
     return updated.unionByName(added, allowMissingColumns=True)
 
 

@@ -51,6 +51,13 @@ SELECT l_orderkey * 10 + l_linenumber AS id, {_epoch('l_shipdate')} + l_orderkey
   concat('host', CAST(l_suppkey % 2 AS VARCHAR)) AS host,
   CASE WHEN l_returnflag = 'N' THEN 200 ELSE 503 END AS response_code, l_returnflag = 'N' AS success
 FROM lineitem""",
+    "v_rules": f"""
+SELECT c_custkey AS id, 'rule ' || c_custkey AS rule_name, lower({_country('c_nationkey')}) AS country_code,
+  CASE c_custkey % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' WHEN 2 THEN 'tablet' ELSE 'bot' END AS device_type,
+  CASE WHEN c_custkey % 5 <> 0 THEN 'lp' || (c_custkey % 701) END AS user_lp,
+  'https://t' || (c_custkey % 9) || '.example.net/' || c_custkey AS redirect_url, c_custkey % 17 AS priority,
+  c_custkey % 6 <> 0 AS is_active
+FROM customer""",
     "v_fails": f"""
 SELECT event_id AS id, {_epoch('ts')} AS attempted_at, concat('203.0.', CAST(user_id % 256 AS VARCHAR), '.9') AS ip
 FROM events WHERE event_type = 'error'""",
@@ -342,6 +349,12 @@ SELECT id, CASE WHEN country_code IN {_KNOWN} THEN country_code ELSE 'XX' END AS
         "country_filter": """
 SELECT id, coalesce(country_code IN ('US', 'DE'), false) AS white, false AS white_empty,
   coalesce(country_code <> 'BR', true) AS black, true AS black_empty, true AS all_mode FROM v_requests""",
+        "country_filter_table": """
+WITH l AS (SELECT DISTINCT upper(country_code) AS c FROM v_rules WHERE id % 3 = 0 AND country_code > 'd'),
+r AS (SELECT id, upper(country_code) AS c FROM v_requests)
+SELECT 'white' AS list, id FROM r WHERE c IN (SELECT c FROM l)
+UNION ALL SELECT 'black', id FROM r WHERE c IS NULL OR c NOT IN (SELECT c FROM l)
+UNION ALL SELECT 'black_empty', id FROM r""",
         "detect_device": """
 SELECT id, CASE WHEN ua = '' OR ua IN ('web', 'desktop') THEN 'WEB' WHEN ua IN ('wap', 'mobile') THEN 'WAP'
   WHEN ua = 'tablet' THEN 'TABLET' WHEN regexp_matches(ua, 'bot|crawl|spider|facebook|whatsapp|telegram') THEN 'BOT'
@@ -410,21 +423,20 @@ SELECT CAST({_DAY} AS VARCHAR) AS day, count(*) FILTER (WHERE decision = 'A') AS
 SELECT id, ts, routed_country AS country_code, device AS traffic_type, CAST(1.5 AS DOUBLE) AS payout,
   concat('https://track.example.com/pb?c=', routed_country, '&t=', device, '&p=1.50') AS postback_url
 FROM v_decided WHERE decision = 'A' AND routed_country <> ''""",
+        "forward_postbacks": """
+SELECT id, ts, country_code, traffic_type, CAST(payout AS DOUBLE) AS payout,
+  concat('https://forward.example.net/r?c=', click_id, '&s=', status, '&p=',
+    regexp_replace(CAST(payout AS VARCHAR), '\\.?0+$', ''), '&g=', country_code, '&d=', traffic_type) AS postback_url
+FROM v_received WHERE country_code IN ('US', 'DE', 'BR', 'IN', 'NG', 'XX')""",
         "match_rules": """
-WITH rules(rule_id, rule_name, place, kind, page, redirect_url, priority) AS (VALUES
-  (1, 'Plain desktop', 'US', 'desktop', NULL, 'https://one.example.net/a', 5),
-  (2, 'Plain mobile', 'US', 'mobile', NULL, 'https://one.example.net/b', 5),
-  (3, 'Anywhere, large screens', 'XX', 'desktop', NULL, 'https://two.example.net/', 2),
-  (4, 'Anywhere, small screens', 'XX', 'mobile', NULL, 'https://two.example.net/m', 2),
-  (5, 'Landing page two', 'US', 'mobile', 'lp2', 'https://three.example.net/lp2', 20),
-  (7, 'Landing page three', 'XX', 'mobile', 'lp3', 'https://four.example.net/lp3', 2),
-  (8, 'Germany, large screens', 'DE', 'desktop', NULL, 'https://four.example.net/de', 7)),
+WITH rules AS (SELECT id AS rule_id, rule_name, upper(country_code) AS place, device_type AS kind, user_lp AS page,
+    redirect_url, priority FROM v_rules WHERE is_active),
 clicks AS (SELECT id, country_code, CASE id % 8 WHEN 2 THEN 'desktop' WHEN 3 THEN 'tablet' WHEN 4 THEN 'bot'
-  WHEN 6 THEN 'desktop' WHEN 7 THEN 'desktop' ELSE 'mobile' END AS device_type, user_lp FROM v_requests)
+  WHEN 6 THEN 'desktop' WHEN 7 THEN 'desktop' ELSE 'mobile' END AS device_type, 'lp' || (id % 1009) AS user_lp FROM v_requests)
 SELECT c.id, c.country_code, c.device_type, c.user_lp, CAST(r.rule_id AS BIGINT) AS rule_id, r.rule_name, r.redirect_url
-FROM clicks c LEFT JOIN rules r ON r.kind = c.device_type AND r.place IN (c.country_code, 'XX')
+FROM clicks c LEFT JOIN rules r ON r.kind = c.device_type AND r.place IN (coalesce(c.country_code, 'XX'), 'XX')
   AND (r.page IS NULL OR r.page = c.user_lp)
-QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY r.place = c.country_code DESC NULLS LAST, r.priority DESC NULLS LAST,
+QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY r.place = coalesce(c.country_code, 'XX') DESC NULLS LAST, r.priority DESC NULLS LAST,
   r.rule_id) = 1""",
         "daily_payout_stats": f"""
 SELECT CAST({_DAY} AS VARCHAR) AS date, {_STATS} FROM v_received WHERE ts >= {ORDERS_NOW - 30 * 86400}
@@ -465,6 +477,10 @@ SELECT {_round2("count(*) FILTER (WHERE decision = 'A') / count(*) * 100")} AS r
   {_round2("count(*) FILTER (WHERE decision = 'B') / count(*) * 100")} AS rate_b,
   count(DISTINCT country_code) AS active_countries FROM v_logs""",
         "unique_countries": "SELECT DISTINCT country_code FROM v_logs WHERE country_code IS NOT NULL",
+        "unique_sketches": f"""
+WITH d AS (SELECT DISTINCT CAST({_DAY} AS DATE) AS day, country_code, ip FROM v_logs),
+e AS (SELECT CAST(day + CAST(k AS INTEGER) AS DATE) AS day, country_code, ip FROM d, range(0, 7) t(k))
+SELECT CAST(day AS VARCHAR) AS day, count(DISTINCT country_code) AS countries, true AS close FROM e GROUP BY 1""",
         "estimated_revenue": """
 SELECT CAST(count(*) FILTER (WHERE decision = 'A') * 1.5 AS DOUBLE) AS revenue FROM v_logs""",
         "security_summary": f"""
@@ -516,7 +532,8 @@ SELECT * FROM v_logs WHERE country_code = 'US' AND ts >= 1704412800 AND ts < 170
 WITH {_LATEST}, good AS (SELECT click_id, payout FROM latest WHERE status = 'confirmed')
 SELECT country, count(*) AS clicks, count(payout) AS converted, coalesce(CAST(sum(payout) AS DOUBLE), 0) AS payout,
   {_round2('count(payout) / count(*) * 100')} AS rate
-FROM (SELECT DISTINCT coalesce(country_code, 'XX') AS country, click_id FROM v_logs) LEFT JOIN good USING (click_id)
+FROM (SELECT click_id, coalesce(country_code, 'XX') AS country FROM v_logs
+  QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, id) = 1) LEFT JOIN good USING (click_id)
 GROUP BY country""",
         "resolve_user": """
 SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN user_id END AS user_id, event_type AS action,

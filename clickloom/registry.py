@@ -12,7 +12,7 @@ from clickloom.functions import device as dev
 from clickloom.functions import geo, net, numbers, secure, text, web
 from clickloom.operators import attribution, browse, quality, routing, security, stats, tables
 from clickloom.sources import derived, params, postbacks, requests, service_log
-from clickloom.plans.workspace import work_folder
+from clickloom.plans.workspace import staged, work_folder
 from clickloom.schemas import schema_of
 from clickloom.sources.derived import read
 from clickloom.sources.tables import load
@@ -36,16 +36,7 @@ SETTINGS = routing.Settings(
 SECRET = "not-a-real-secret"
 SALT = "pepper"
 API_KEY = "not-a-real-key"
-RULES = """VALUES
-  (1, 'Plain desktop', 'US', 'desktop', NULL, 'https://one.example.net/a', 5, true),
-  (2, 'Plain mobile', 'US', 'mobile', NULL, 'https://one.example.net/b', 5, true),
-  (3, 'Anywhere, large screens', 'XX', 'desktop', NULL, 'https://two.example.net/', 2, true),
-  (4, 'Anywhere, small screens', 'XX', 'mobile', NULL, 'https://two.example.net/m', 2, true),
-  (5, 'Landing page two', 'US', 'mobile', 'lp2', 'https://three.example.net/lp2', 20, true),
-  (6, 'Switched off', 'US', 'mobile', NULL, 'https://three.example.net/off', 99, false),
-  (7, 'Landing page three', 'XX', 'mobile', 'lp3', 'https://four.example.net/lp3', 2, true),
-  (8, 'Germany, large screens', 'DE', 'desktop', NULL, 'https://four.example.net/de', 7, true)
-  AS rules(id, rule_name, country_code, device_type, user_lp, redirect_url, priority, is_active)"""
+FORWARD = "https://forward.example.net/r?c={click_id}&s={status}&p={payout}&g={country}&d={device}"
 _SENT_TIES = ("id", "payout", "part_key")
 
 _QUERIES: dict[str, Query] = {}
@@ -486,6 +477,19 @@ def country_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         geo.country_allowed(c, "all", ["BR"]).alias("all_mode"))
 
 
+@_register
+def country_filter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that a list from a table admits, in both modes, and with an empty list."""
+    requests_ = derived.requests(spark, sf_dir).select("id", "country_code")
+    listed = derived.rules(spark, sf_dir).where("id % 3 = 0 and country_code > 'd'").select("country_code")
+    out = None
+    for name, mode, codes in (("white", "whitelist", listed), ("white_empty", "whitelist", listed.where("false")),
+                              ("black", "blacklist", listed), ("black_empty", "blacklist", listed.where("false"))):
+        kept = geo.countries_allowed(requests_, "country_code", mode, codes).select(F.lit(name).alias("list"), "id")
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 @_register
 def detect_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.requests(spark, sf_dir).select("id", dev.device(F.col("user_agent")).alias("device"))
@@ -675,15 +679,19 @@ def outgoing_postbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(routing.outgoing(_decisions(spark, sf_dir), SETTINGS), "payout")
 
 
+@_register
+def forward_postbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doubles(routing.forwarded(derived.received(spark, sf_dir), FORWARD), "payout")
+
+
 @_register
 def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.sql(f"SELECT * FROM {RULES}")
-    r = derived.requests(spark, sf_dir)
+    """Rules from the customer table; clicks spread over more landing pages than there are rules for."""
     kind = dev.device(F.col("user_agent"))
-    clicks = r.select("id", "country_code", F.when(kind == "WAP", "mobile").when(kind == "WEB", "desktop")
-                      .otherwise(F.lower(kind)).alias("device_type"), "user_lp")
-    out = routing.match_rules(clicks, rules)
-    return out.withColumn("rule_id", F.col("rule_id").cast("bigint"))
+    clicks = derived.requests(spark, sf_dir).select(
+        "id", "country_code", F.when(kind == "WAP", "mobile").when(kind == "WEB", "desktop").otherwise(F.lower(kind))
+        .alias("device_type"), F.concat(F.lit("lp"), (F.col("id") % 1009).cast("string")).alias("user_lp"))
+    return routing.match_rules(clicks, derived.rules(spark, sf_dir))
 
 
 # --- aggregations --------------------------------------------------------------------------------------------------
@@ -758,6 +766,21 @@ def unique_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.unique_countries(derived.logs(spark, sf_dir))
 
 
+@_register
+def unique_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries and addresses of the seven days up to each day, from one stored sketch per day. Small sets are counted
+    exactly; of the addresses, the estimate's distance from the exact count is tested against three standard errors."""
+    logs = derived.logs(spark, sf_dir)
+    sketches = staged(stats.daily_sketches(logs, ["country_code", "ip"]), "sketches")
+    found = stats.trailing_distinct(sketches, ["country_code", "ip"], 7)
+    ends = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")
+    days = logs.select(stats.utc_date(F.col("ts")).alias("day"), "ip").distinct()
+    exact = days.select("day", "ip", ends).select(
+        F.date_add("day", F.col("k")).alias("day"), "ip").distinct().groupBy("day").agg(F.count("*").alias("n"))
+    close = F.abs(F.col("ip") - F.col("n")) <= F.greatest(F.lit(1), F.ceil(F.col("n") * 3 * stats.SKETCH_ERROR))
+    return _texts(found.join(exact, "day").select("day", F.col("country_code").alias("countries"), close.alias("close")), "day")
+
+
 @_register
 def estimated_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(stats.estimated_revenue(derived.logs(spark, sf_dir), SETTINGS.default_payout), "revenue")

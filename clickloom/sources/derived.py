@@ -111,6 +111,18 @@ def sent(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFram
         F.when(good, 200).otherwise(503).alias("response_code"), good.alias("success"))
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing rules, one per customer: some for one landing page, some for all, about a sixth of them switched off."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 4 == 0, "mobile").when(k % 4 == 1, "desktop").when(k % 4 == 2, "tablet").otherwise("bot")
+    return read(spark, sf_dir, "customer").select(
+        k.alias("id"), F.concat(F.lit("rule "), _text(k)).alias("rule_name"),
+        F.lower(_country(F.col("c_nationkey"))).alias("country_code"), kind.alias("device_type"),
+        F.when(k % 5 != 0, F.concat(F.lit("lp"), _text(k % 701))).alias("user_lp"),
+        F.concat(F.lit("https://t"), _text(k % 9), F.lit(".example.net/"), _text(k)).alias("redirect_url"),
+        (k % 17).cast("int").alias("priority"), (k % 6 != 0).alias("is_active"))
+
+
 def failed_logins(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
     rows = read(spark, sf_dir, "events").where((F.col("event_type") == "error") & _from("ts", since))
     return rows.select(

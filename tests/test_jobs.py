@@ -10,7 +10,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import browse, quality, routing, security, stats
+from clickloom.functions import geo
+from clickloom.operators import attribution, browse, quality, routing, security, stats, tables
 from clickloom.plans import lookup
 
 REQUEST = "id bigint, ts bigint, click_id string, country_code string, user_agent string, ip string, user_lp string"
@@ -251,3 +252,70 @@ def test_payouts_cover_every_period(spark):
     assert stats.payout_stats(rows, 365, as_of, max_periods=3).count() == 3
     with pytest.raises(ValueError):
         stats.payout_stats(rows, 0, as_of)
+
+
+def test_rules_match_in_wide_and_narrow_plans(spark, setting):
+    """Packed rules against every rule tried on every click; a third of the clicks have one page, some have none."""
+    rng = random.Random(4)
+    places, kinds, pages = ["us", "DE", "xx", None, "FR"], ["mobile", "desktop", "", None], ["p", "q", None, "r"]
+    rules = [(i, f"n{i}", rng.choice(places), rng.choice(kinds), rng.choice(pages), f"u{i}", rng.randint(0, 3), rng.random() < 0.8)
+             for i in range(120)]
+    clicks = [(i, rng.choice(["US", "de", "XX", None, "ZZ"]), rng.choice(kinds), "p" if i % 3 == 0 else rng.choice([*pages, "s"]))
+              for i in range(300)]
+
+    def best(place, kind, page):
+        fit = []
+        for i, _, where, what, only, _, priority, on in rules:
+            if on and where is not None and what is not None and what == (kind or "") and only in (None, page):
+                if where.upper() in ((place or "xx").upper(), "XX"):
+                    fit.append((where.upper() == (place or "xx").upper(), priority, -i))
+        return -max(fit)[2] if fit else None
+
+    expected = {i: best(place, kind, page) for i, place, kind, page in clicks}
+    table = spark.createDataFrame(rules, "id int, rule_name string, country_code string, device_type string, user_lp string, "
+                                         "redirect_url string, priority int, is_active boolean")
+    frame = spark.createDataFrame(clicks, "id int, country_code string, device_type string, user_lp string")
+    for limit in ("10485760", "-1"):
+        setting("spark.sql.autoBroadcastJoinThreshold", limit)
+        assert {r.id: r.rule_id for r in routing.match_rules(frame, table).collect()} == expected
+    plan = routing.match_rules(frame, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") <= 4  # one lookup with its hot keys, and one broadcast
+
+
+def test_upsert_reads_the_base_once(spark, setting, tmp_path):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.range(50).selectExpr("cast(id as string) as k", "id as v", "1 as w").write.parquet(f"{tmp_path}/base")
+    base = spark.read.parquet(f"{tmp_path}/base")
+    changes = spark.createDataFrame([("3", 30, 9, 1), ("3", 31, 9, 2), ("x", 5, 7, 1)], "k string, v bigint, w int, at int")
+    out = tables.upsert(base, changes, "k", ["v"], ["at"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted(map(tuple, out.collect())) == sorted([(str(i), 31 if i == 3 else i, 1) for i in range(50)] + [("x", 5, 7)])
+
+
+def test_a_click_counts_in_one_country(spark):
+    logs = spark.createDataFrame([(1, 10, "c", "US"), (2, 5, "c", "DE"), (3, 7, "d", None), (4, 7, None, "US")],
+                                 "id bigint, ts bigint, click_id string, country_code string")
+    posts = spark.createDataFrame([("c", 1, 1, "confirmed", Decimal(2)), ("d", 1, 2, "confirmed", Decimal(3))],
+                                  "click_id string, ts bigint, id bigint, status string, payout decimal(10,2)")
+    found = attribution.conversions(logs, posts).select("country", "clicks", "converted", "payout").collect()
+    assert sorted(map(tuple, found)) == [("DE", 1, 1, 2.0), ("XX", 1, 1, 3.0)]
+
+
+def test_country_tables(spark):
+    df = spark.createDataFrame([("us",), ("DE",), (None,), ("",)], "c string")
+    codes = spark.createDataFrame([("US", 1), ("us", 2), (None, 3)], "code string, n int")
+    for mode, listed, kept in (("whitelist", codes, ["us"]), ("whitelist", codes.limit(0), []), ("all", codes, ["", "DE", "us", None]),
+                               ("blacklist", codes, ["", "DE", None]), ("blacklist", codes.limit(0), ["", "DE", "us", None])):
+        found = [r.c for r in geo.countries_allowed(df, "c", mode, listed).collect()]
+        assert sorted(found, key=lambda c: (c is None, c or "")) == kept
+
+
+def test_sketches_unite_days(spark):
+    rows = spark.range(40_000).selectExpr("(id % 10) * 86400 as ts", "cast(id % 7 as string) as few", "cast(id as string) as many")
+    sketches = stats.daily_sketches(rows.union(spark.createDataFrame([(0, None, "")], "ts bigint, few string, many string")),
+                                    ["few", "many"])
+    found = stats.distinct_between(sketches, ["few", "many"], "1970-01-01", "1970-01-10").first()
+    assert found.few == 7 and abs(found.many - 40_000) <= 40_000 * 3 * stats.SKETCH_ERROR
+    part = stats.distinct_between(sketches, ["many"], "1970-01-02", "1970-01-03").first().many
+    assert abs(part - 8000) <= 8000 * 3 * stats.SKETCH_ERROR
+    assert stats.distinct_between(sketches, ["few"], "1999-01-01", "1999-01-02").first().few == 0
