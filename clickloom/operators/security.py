@@ -130,15 +130,22 @@ def _replay_day(window: int):
     return run
 
 
-def request_windows(df: DataFrame, window: int = RATE_LIMIT_WINDOW, at_least: int = 0) -> DataFrame:
+def request_windows(
+    df: DataFrame, window: int = RATE_LIMIT_WINDOW, at_least: int = 0, carried: DataFrame | None = None
+) -> DataFrame:
     """Requests per address and second with the start of their window: ip, ts, n, window_start.
 
+    ``carried`` (ip, ts, n) holds requests that were counted before, from the start of a window on, and are no rows of
+    ``df``; their seconds are part of the result.
+
     ``at_least`` drops addresses that never have more than that many requests within a window length; it is tested on
     pairs of neighbouring clock slots, which cover any window.
     """
     if not 0 < window <= DAY:
         raise ValueError("window must be between one second and one day")
     seconds = df.where("ip is not null").groupBy("ip", "ts").agg(F.count(F.lit(1)).alias("n"))
+    if carried is not None:
+        seconds = seconds.unionByName(carried)
     if at_least:
         slots = seconds.groupBy("ip", F.floor(F.col("ts") / (window + 1)).alias("slot")).agg(F.sum("n").alias("n"))
         # Each slot counts for itself and for the one after it.
@@ -153,9 +160,9 @@ def request_windows(df: DataFrame, window: int = RATE_LIMIT_WINDOW, at_least: in
         _replay_day(window), "ip string, ts bigint, n bigint, window_start bigint")
 
 
-def _denied_seconds(df: DataFrame, max_requests: int, window: int) -> DataFrame:
+def _denied_seconds(df: DataFrame, max_requests: int, window: int, carried: DataFrame | None) -> DataFrame:
     """Seconds with denied requests: ip, ts, window_start, room (requests of that second that still pass)."""
-    counted = request_windows(df, window, at_least=max_requests)
+    counted = request_windows(df, window, max_requests, carried)
     # At most window + 1 rows per window.
     earlier = Window.partitionBy("ip", "window_start").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
@@ -164,14 +171,17 @@ def _denied_seconds(df: DataFrame, max_requests: int, window: int) -> DataFrame:
 
 
 def rate_limit(
-    df: DataFrame, max_requests: int = RATE_LIMIT_MAX, window: int = RATE_LIMIT_WINDOW, order: str = "id"
+    df: DataFrame, max_requests: int = RATE_LIMIT_MAX, window: int = RATE_LIMIT_WINDOW, order: str = "id",
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``allowed`` and, for denied requests, ``window_start``. Requests of one second go by ``order`` (unique).
 
+    ``carried``: requests counted before, see ``request_windows``; no second of theirs is met in ``df``.
+
     Only the second in which a window fills up needs an order among its requests; there the first ``max_requests``
     per task are kept before the shuffle, so a second with very many requests is not gathered.
     """
-    full = _denied_seconds(df, max_requests, window).withColumn("_slot", _slot())
+    full = _denied_seconds(df, max_requests, window, carried).withColumn("_slot", _slot())
     spread = ["ip", "ts", order]
     slotted = df.withColumn("_slot", _slot())
     split = full.where("room > 0").select("_slot", "room")

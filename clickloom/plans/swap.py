@@ -30,6 +30,10 @@ class TableFiles:
     def _at(self, name: str):
         return self._folder(f"{self.root}/{name}" if name else self.root)
 
+    def make(self) -> None:
+        """The table's folder, if it is not there yet."""
+        self._files.mkdirs(self._at(""))
+
     def exists(self, name: str) -> bool:
         return self._files.exists(self._at(name))
 

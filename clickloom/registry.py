@@ -16,7 +16,7 @@ from clickloom.plans.workspace import staged, work_folder
 from clickloom.schemas import schema_of
 from clickloom.sources.derived import read
 from clickloom.sources.tables import load
-from clickloom.streaming import jobs, sinks
+from clickloom.streaming import jobs, limits, sinks, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -897,8 +897,10 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = derived.squeezed_from(derived.read_stream(spark, sf_dir, "events"))
-    out = sinks.run_available(jobs.rate_limit_stream(source), "rate-limit")
-    return spark.read.schema("ip string, id bigint, ts bigint, allowed boolean").parquet(out)
+    carried = limits.CarriedLimits(f"{work_folder(spark, 'rate-limit')}/limits")
+    sinks.run_batches(source, "rate-limit-run", carried.take)
+    carried.flush(spark)
+    return carried.decisions(spark)
 
 
 @_register
@@ -915,23 +917,23 @@ def rate_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def payout_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts, from a store of combinations."""
     source = derived.received_from(
         derived.read_stream(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"))
-    out = jobs.payout_stats_stream(source, "weekly")
-    rows = spark.read.schema(f"{_ddl(out)}, batch_id bigint").parquet(sinks.run_available(out, "payouts", "update"))
-    last = F.max_by(F.struct(*[c for c in rows.columns if c != "date"]), "batch_id").alias("last")
-    final = rows.groupBy("date").agg(last).select("date", "last.*").drop("batch_id")
-    return _texts(final, "date", "week_end")
+    store = stores.LatestStore(
+        f"{work_folder(spark, 'payouts')}/store", jobs.COMBINATIONS, "combination", ["n"], buckets=8)
+    sinks.run_batches(jobs.payout_combinations_stream(source, "weekly"), "payouts-run", store.save, "update")
+    return _texts(jobs.payout_stats_of(store.read(spark), "weekly"), "date", "week_end")
 
 
 @_register
 def latest_postback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = derived.received_from(
         derived.read_stream(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"))
-    out = jobs.latest_postback_stream(source)
-    rows = spark.read.schema(f"{_ddl(out)}, batch_id bigint").parquet(sinks.run_available(out, "latest", "update"))
-    last = F.max_by(F.struct("status", "payout", "ts", "id"), F.struct("ts", "id")).alias("last")
-    return _doubles(rows.groupBy("click_id").agg(last).select("click_id", "last.*"), "payout")
+    rows = source.select("click_id", "status", "payout", "ts", "id")
+    store = stores.LatestStore(f"{work_folder(spark, 'latest')}/store", _ddl(rows), "click_id", ["ts", "id"], buckets=8)
+    sinks.run_batches(rows, "latest-run", store.save)
+    return _doubles(store.read(spark), "payout")
 
 
 def _ddl(df: DataFrame) -> str:

@@ -67,6 +67,42 @@ def payout_stats_stream(postbacks: DataFrame, view: str = "daily", watermark: st
     return out.withColumn("week_end", F.date_add("date", 6)) if weekly else out
 
 
+_COMBINATION = ["traffic_type", "country_code", "network"]
+COMBINATIONS = ("date date, traffic_type string, country_code string, network string, n bigint, total decimal(38,2), "
+                "paid bigint, low decimal(10,2), high decimal(10,2), combination string, ts bigint")
+
+
+def payout_combinations_stream(postbacks: DataFrame, view: str = "daily", watermark: str = "2 days") -> DataFrame:
+    """Counts and payouts per period and combination of type, country and network, for update mode.
+
+    Each report replaces the one before of the same ``combination`` (the key), and ``n`` says which is later. Kept in a
+    ``LatestStore``, they are the deduplicated values from which ``payout_stats_of`` counts exactly.
+    """
+    shift = WEEK_SHIFT if view == "weekly" else 0
+    timed = postbacks.withColumn("at", F.timestamp_seconds(F.col("ts") - shift)).withWatermark("at", watermark)
+    # The epoch was a Thursday: four days later is a Monday.
+    period = F.window("at", "7 days", "7 days", "4 days") if view == "weekly" else F.window("at", "1 day")
+    sums = timed.groupBy(period, *_COMBINATION).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("payout").cast("decimal(38,2)").alias("total"), F.count("payout").alias("paid"),
+        F.min("payout").alias("low"), F.max("payout").alias("high"))
+    start = F.unix_timestamp("window.start")
+    rows = sums.withColumns({"date": F.date_from_unix_date(F.floor(start / 86400).cast("int")), "ts": start}).drop("window")
+    key = F.to_json(F.struct("date", *_COMBINATION), {"ignoreNullFields": "false"})
+    return rows.withColumn("combination", key)
+
+
+def payout_stats_of(combinations: DataFrame, view: str = "daily") -> DataFrame:
+    """Payout statistics per period with exact distinct counts, from one row per period and combination."""
+    total = F.sum("total").cast("double")
+    out = combinations.groupBy("date").agg(
+        F.sum("n").alias("total_postbacks"), total.alias("total_payout"),
+        (total / F.nullif(F.sum("paid"), F.lit(0))).alias("avg_payout"),
+        F.min("low").cast("double").alias("min_payout"), F.max("high").cast("double").alias("max_payout"),
+        F.countDistinct("traffic_type").alias("unique_traffic_types"),
+        F.countDistinct("country_code").alias("unique_countries"), F.countDistinct("network").alias("unique_networks"))
+    return out.withColumn("week_end", F.date_add("date", 6)) if view == "weekly" else out
+
+
 def latest_postback_stream(postbacks: DataFrame) -> DataFrame:
     """Latest postback per click, for update mode. State is one row per click id; rows fold before the shuffle."""
     best = F.max_by(F.struct("status", "payout", "ts", "id"), F.struct("ts", "id")).alias("last")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,14 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def run_batches(df: DataFrame, name: str, save: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Process all available input, giving every micro-batch to ``save``."""
+    spark = df.sparkSession
+    with _settings(spark, STATE_STORE):
+        writer = df.writeStream.option("checkpointLocation", f"{work_folder(spark, name)}/checkpoint")
+        writer.trigger(availableNow=True).outputMode(mode).foreachBatch(save).start().awaitTermination()
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append") -> str:
     """Process all available input and return the folder of the output.
 
