@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.text import trimmed
 from clickloom.plans.barrier import computed_once
+from clickloom.plans.lookup import lookup_join
+from clickloom.plans.sweep import covered_points
+from clickloom.plans.workspace import staged
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DOTTED = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -223,35 +226,35 @@ def client_ip(
     raise ValueError(f"unknown variant: {variant}")
 
 
-def _prefix(digits: Column, length: Column) -> Column:
-    """The first ``length`` bits of hexadecimal digits as text: whole digits, then the cut one shifted right."""
+def _edge(digits: Column, length: Column, last: bool) -> Column:
+    """First or last address, as digits, of the block that the first ``length`` bits name."""
     whole, rest = F.floor(length / 4).cast("int"), (length % 4).cast("int")
-    cut = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
-    shifted = F.floor(cut / F.pow(F.lit(2), F.lit(4) - rest)).cast("string")
-    return F.concat_ws(":", F.substring(digits, F.lit(1), whole), F.when(rest > 0, shifted))
+    size = F.pow(F.lit(2), F.lit(4) - rest).cast("int")
+    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    cut = digit - digit % size + (size - 1 if last else 0)
+    head = F.concat(F.substring(digits, F.lit(1), whole), F.when(rest > 0, F.lower(F.hex(cut))).otherwise(""))
+    return F.rpad(head, F.length(digits), "f" if last else "0")
 
 
 def match_cidr_table(df: DataFrame, ip: str, ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
     """Rows of ``df`` whose address lies in a *table* of ranges, for lists too long to write out.
 
-    Every range becomes an equi-join key (family, prefix length, prefix), so no range join is needed. Addresses are
-    made distinct first; each distinct one yields one key per prefix length in use, at most 33 or 129.
+    Ranges become intervals of hexadecimal digits and distinct addresses points of one sweep over both, so neither a
+    short prefix nor a list of any length multiplies rows, and no range join is needed. A frequent address is one point.
     """
     address, length = F.split_part(F.col(cidr), F.lit("/"), F.lit(1)), F.split_part(F.col(cidr), F.lit("/"), F.lit(2))
 
     def with_digits(frame: DataFrame, c: Column, *others: Column) -> DataFrame:
         found = F.when(_has_colon(c), ipv6_digits(c)).otherwise(ipv4_digits(c))
         frame = frame.select(*others, computed_once(found).alias("_digits"))
-        return frame.where("_digits is not null").withColumn("_width", F.length("_digits") * 4)
+        return frame.where("_digits is not null").withColumn("_width", F.length("_digits"))
 
     listed = with_digits(ranges, address, length.try_cast("int").alias("_given"))
-    listed = listed.withColumn("_length", F.coalesce("_given", "_width")).where("_length between 0 and _width")
-    keys = listed.select("_width", "_length", _prefix(F.col("_digits"), F.col("_length")).alias("_prefix")).distinct()
-    # One row per family, at most 33 and 129 lengths in its array.
-    lengths = keys.groupBy("_width").agg(F.collect_set("_length").alias("_lengths"))
-    addresses = df.select(F.col(ip).alias("_ip")).distinct()
-    probe = with_digits(addresses, F.col("_ip"), F.col("_ip")).join(F.broadcast(lengths), "_width")
-    probe = probe.select("_ip", "_width", "_digits", F.explode("_lengths").alias("_length"))
-    probe = probe.withColumn("_prefix", _prefix(F.col("_digits"), F.col("_length")))
-    hits = probe.join(keys, ["_width", "_length", "_prefix"], "left_semi").select("_ip").distinct()
-    return df.join(hits, df[ip] == hits["_ip"], "left_semi")
+    listed = listed.withColumn("_length", F.coalesce("_given", F.col("_width") * 4)).where("_length between 0 and _width * 4")
+    size = F.col("_length")
+    blocks = listed.select("_width", _edge(F.col("_digits"), size, False).alias("_low"),
+                           _edge(F.col("_digits"), size, True).alias("_high"))
+    addresses = staged(with_digits(df.select(F.col(ip).alias("_ip")).distinct(), F.col("_ip"), F.col("_ip")), "addresses")
+    inside = covered_points(addresses.select("_width", "_digits").distinct(), blocks, "_width", "_digits", "_low", "_high")
+    hits = addresses.join(inside, ["_width", "_digits"], "left_semi").select(F.col("_ip").alias(ip), F.lit(True).alias("_in"))
+    return lookup_join(df, hits, ip).where("_in").select(*df.columns)

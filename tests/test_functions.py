@@ -160,6 +160,39 @@ def test_cidr_table_against_ipaddress(spark):
     assert set(rows) == expected and len(rows) == 2 * len(expected)
 
 
+def test_cidr_table_of_many_ranges(spark, setting):
+    """Prefixes of 0 and 8 bits beside many long ones, a hot address, and as many partitions as there is room for."""
+    rng = random.Random(6)
+
+    def v4():
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+
+    def v6():
+        return ":".join(f"{rng.randrange(65536):x}" for _ in range(8))
+
+    setting("spark.sql.shuffle.partitions", "13")
+    given = [v4() for _ in range(150)] + [v6() for _ in range(50)] + ["10.1.2.3"] * 100 + [None, "bad", "::ffff:1.2.3.4"]
+    long = [f"{rng.choice(given[:200])}/{rng.choice([20, 24, 31, 32, 61])}" for _ in range(60)] + [f"{v4()}/24" for _ in range(500)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(given)], "n int, ip string")
+    for extra in ([], ["10.0.0.0/8"], ["0.0.0.0/0"], ["::/0", "junk", "1.2.3.4/33", "1.2.3.4/x", None]):
+        ranges = long + extra
+        nets = []
+        for r in ranges:
+            try:
+                nets.append(ipaddress.ip_network(r, strict=False))
+            except ValueError:
+                continue
+        def inside(a):
+            try:
+                x = ipaddress.ip_address(a)
+            except ValueError:
+                return False
+            return any(x.version == n.version and x in n for n in nets)
+
+        found = net.match_cidr_table(df, "ip", spark.createDataFrame([(r,) for r in ranges], "cidr string"))
+        assert sorted(r.n for r in found.collect()) == [i for i, a in enumerate(given) if a and inside(a)]
+
+
 def test_cidr_lists(apply):
     ranges = ["203.0.113.0/24", "198.51.100.0/24", "192.0.2.0/24"]
     given = ["203.0.113.0", "203.0.113.255", "203.0.112.255", "203.0.114.0", "2001:db8::1", None]
