@@ -61,19 +61,35 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE_RUN), lambda w: w != "")
 
 
-def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
-    """Whether any rule is against the line. Lines without words never fail."""
-    n = F.size(_words(line))
-    low = F.lower(F.btrim(line, F.lit(SPACE)))
+def _line_facts(line: Column) -> Column:
+    """What the rules look at, worked out once per line: lambdas repeat whatever they refer to twice."""
+    trimmed = F.btrim(line, F.lit(SPACE))
+    return F.struct(line.alias("line"), trimmed.alias("trimmed"), F.lower(trimmed).alias("low"), _length_of(line, "|").alias("bars"))
+
+
+def _with_words(facts: Column) -> Column:
+    """Adds the number of words: the parts of the trimmed line."""
+    n = F.when(facts["trimmed"] == "", 0).otherwise(F.size(F.split(facts["trimmed"], _SPACE_RUN)))
+    return F.struct(facts["line"].alias("line"), facts["low"].alias("low"), facts["bars"].alias("bars"), n.alias("n"))
+
+
+def _facts_fail(facts: Column, rules: LineRules) -> Column:
+    n, low, line = facts["n"], facts["low"], facts["line"]
     phrases = "|".join(BOILERPLATE)  # holds no character with a meaning in patterns
     boilerplate = (n <= rules.boilerplate_words) & low.rlike(phrases)
-    parts = F.split(line, r"\|")
-    menu = (F.size(parts) >= rules.menu_parts) & F.forall(parts, lambda p: F.size(_words(p)) <= rules.menu_part_words)
+    menu = (facts["bars"] + 1 >= rules.menu_parts) & F.forall(
+        F.split(line, r"\|"), lambda p: F.size(_words(p)) <= rules.menu_part_words)
     symbols = _length_of(line, SYMBOLS) * 100 > F.char_length(line) * rules.symbol_percent
     ends = F.lit(rules.closing_signs).contains(F.right(low, F.lit(1)))
     return (n > 0) & (boilerplate | low.isin(*NAVIGATION) | menu | symbols | ((n < rules.open_words) & ~ends))
 
 
+def judged_lines(text: Column, rules: LineRules = LineRules()) -> Column:
+    """The lines of a text, each with ``line`` and ``fails``: whether any rule is against it. Lines without words never fail."""
+    facts = F.transform(F.transform(F.split(text, "\n"), _line_facts), _with_words)
+    return F.transform(facts, lambda x: F.struct(x["line"].alias("line"), _facts_fail(x, rules).alias("fails")))
+
+
 def _repeat_windows(df: DataFrame) -> DataFrame:
     """``_quality_n_repeat_words`` from ``_quality_words``. Each array is generated once, since lambdas refer to it many times."""
     hashes = F.transform("_quality_words", lambda w: F.xxhash64(w))
@@ -113,8 +129,7 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text
     df = df.withColumn("_quality_n_words", F.size("_quality_words").cast("bigint"))
     df = _repeat_windows(df)
     text = F.coalesce(F.col("_quality_text"), F.lit(""))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_fails(x, rules).alias("fails")))
-    df = df.withColumn("_quality_lines", computed_once(lines))
+    df = df.withColumn("_quality_lines", computed_once(judged_lines(text, rules)))
     wordy = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     failed = F.filter("_quality_lines", lambda x: x["fails"])
     lost = F.aggregate(failed, F.lit(0).cast("bigint"), lambda acc, x: acc + _word_chars(x["line"]))

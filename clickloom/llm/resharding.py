@@ -87,8 +87,8 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, capacities: Sequenc
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its ``size`` and new ``shard``, and its place on the line (``old``, ``block``, ``rank``).
 
-    ``old_shard`` is a number from 0; an old shard of the same number as a new one keeps what fits. One row per input
-    row. A null text has no bytes beside the overhead and stays null, ids may be null or repeated, no documents give no
+    ``old_shard`` is a number from 0; an old shard of the same number as a new one keeps what fits. Documents whose old
+    shard is null are new: they are moved wherever there is room. One row per input row. A null text has no bytes beside the overhead and stays null, ids may be null or repeated, no documents give no
     rows. Ties on the line go by id and text. ``rank`` counts from 0 within shard, old shard and block.
     """
     sub_blocks = max(1, math.ceil(docs.count() / ROWS_PER_BLOCK / 64))
@@ -101,6 +101,11 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, capacities: Sequenc
         (step * sub_blocks + F.pmod(F.xxhash64(spread), F.lit(sub_blocks))).cast("int").alias("block"))
     blocks = staged(rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")), "blocks")
     sizes = {r["old"]: r["bytes"] for r in blocks.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect()}
+    # Documents without an old shard come from a source of their own, with a number that no shard has.
+    nowhere = max([shards - 1, *(i for i in sizes if i is not None)]) + 1
+    if None in sizes:
+        sizes[nowhere] = sizes.pop(None)
+    rows, blocks = [t.withColumn("old", F.coalesce("old", F.lit(nowhere))) for t in (rows, blocks)]
     flow = transfers(sizes, shards, capacities)
     cuts = []
     for i, amounts in enumerate(flow):

@@ -1,17 +1,20 @@
 """Secrets in texts: patterns, and encoded keys and signed tokens that are reported only when their structure holds.
 
-A candidate run of base64 or hex characters, or several on following lines, is decoded and parsed. A private key counts when its tags and nested
-lengths fill the bytes exactly and its fields are those of a known key form; a token counts when its header is a JSON
-object that names an algorithm. Long random strings and encoded pictures therefore stay unreported.
+A candidate run of base64 or hex characters, or several on following lines, is decoded and parsed. A private key counts
+when its tags and nested lengths fill the bytes exactly and its fields are those of a known key form; a token counts when
+its header is a JSON object that names an algorithm. Long random strings and encoded pictures therefore stay unreported.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
+import math
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +33,12 @@ _ASSIGN_LENGTH = 6
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-# Candidates of the structural check. Shorter runs cannot hold a private key.
-_BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{56,}={0,2}")
-_HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
+# Candidates of the structural check. The shortest key form has a tag, a length, a version and 16 bytes: 23 bytes, so
+# shorter runs hold none.
+_LEAST_BASE64, _LEAST_HEX = 31, 46
+_BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{_LEAST_BASE64},}}={{0,2}}")
+_HEX_RUN = re.compile(rf"[0-9A-Fa-f]{{{_LEAST_HEX},}}")
+_BASE64_TEXT = re.compile(rb"[A-Za-z0-9+/_-]{31,}={0,2}\s*")
 # Runs on following lines, also where the break is written out; hex pairs also with colons or spaces between them.
 _BREAK = r"(?:\r?\n[\x20\t]*+|(?:\\r)?\\n)"
 _BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
@@ -41,7 +47,12 @@ _HEX_LINES = re.compile(rf"(?<![0-9A-Fa-f]){_HEX_PAIRS}(?:(?::?{_BREAK}|[:\x20])
 _BASE64_GAP, _HEX_GAP = re.compile(_BREAK), re.compile(rf":?{_BREAK}|[:\x20]")
 _BASE64_HEADS, _HEX_HEADS = ("M", "b3BlbnNzaC1rZXk", "LS0tLS1CRUdJTi"), ("30", "6f70656e7373682d", "2d2d2d2d2d424547")
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
-_PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
+# Text that starts with an opening brace, whatever follows, or one glued to something in front.
+_BRACE = re.compile(r"e[w-z0-9_-]")
+_LEAST_HEADER = 14  # {"alg":"x"}, ten bytes and more
+_GLUED_HEADER = re.compile(r"eyJ|eyAi|ewog|ew0K|ewki")
+_HEADER = re.compile(r"(?<![A-Za-z0-9_-])e[w-z0-9_-][A-Za-z0-9_-]*+\.|eyJ|eyAi|ewog|ew0K|ewki")
+_PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/=]+")
 
 _INTEGER, _BITS, _OCTETS, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
@@ -95,13 +106,13 @@ def _der_key(data: bytes) -> bool:
     return False
 
 
-def _ssh_size(data: bytes) -> int:
+def _ssh_size(data: bytes | memoryview) -> int:
     """Three length-prefixed names, a key count of at least one, then that many public keys and one private block.
 
     Their bytes, or 0 for something else.
     """
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if data[:len(magic)] != magic:
         return 0
     at, sizes = len(magic), []
 
@@ -117,7 +128,7 @@ def _ssh_size(data: bytes) -> int:
     if not all(skip() for _ in range(3)):
         return 0
     keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
-    return at if 1 <= keys <= 16 and all(skip() for _ in range(keys + 1)) and sizes[-1] >= 16 else 0
+    return at if keys and all(skip() for _ in range(keys + 1)) and sizes[-1] >= 16 else 0
 
 
 def _from_base64(run: str) -> bytes | None:
@@ -138,17 +149,21 @@ def _holds_key(data: bytes | None, nested: bool = True) -> bool:
             return any(True for _ in _armoured(data.decode("ascii")))
         except UnicodeDecodeError:
             return False
+    if nested and _BASE64_TEXT.fullmatch(data):  # a bare one
+        return _holds_key(_from_base64(data.decode("ascii").strip()), nested=False)
     return False
 
 
 def _armoured(text: str):
-    """Spans of armoured private keys: matching end line, a body that decodes to a key (or an encrypted body)."""
-    at = 0
-    while begin := _PEM_BEGIN.search(text, at):
+    """Spans of armoured private keys: matching end line, a body that decodes to a key (or an encrypted body).
+
+    A key ends before the next one begins, so every character is looked at once.
+    """
+    begins = list(_PEM_BEGIN.finditer(text))
+    for begin, following in zip_longest(begins, begins[1:]):
         end_line = f"-----END {begin[1]}PRIVATE KEY-----"
-        end = text.find(end_line, begin.end())
+        end = text.find(end_line, begin.end(), following.start() if following else len(text))
         if end < 0:
-            at = begin.end()
             continue
         body = text[begin.end():end].replace("\\n", "\n")
         locked = "ENCRYPTED" in begin[0] or "Proc-Type:" in body
@@ -156,22 +171,50 @@ def _armoured(text: str):
         data = _from_base64(_NOT_BASE64.sub("", "".join(lines)))
         if _holds_key(data, nested=False) or locked and data and len(data) >= 32:
             yield begin.start(), end + len(end_line)
-            at = end + len(end_line)
-        else:
-            at = begin.end()
 
 
-def _key_size(head: bytes, rest) -> int:
-    """Bytes of the value that starts with ``head``; ``rest`` gives all that follows, for forms without a length."""
-    if head[:1] == b"\x30" and len(head) > 5:
-        size = head[1] & 0x7F if head[1] >= 0x80 else 0
-        return 2 + size + (int.from_bytes(head[2:2 + size], "big") if size else head[1]) if size <= 4 else 0
-    if head.startswith(b"open"):
-        return _ssh_size(rest())
-    if head.startswith(b"-----B"):
-        span = next(_armoured(rest().decode("latin-1")), None)
-        return span[1] if span and span[0] == 0 else 0
-    return 0
+class _Decoded:
+    """A run of base64 or hex characters, decoded once for each place in a group where a key may start."""
+
+    def __init__(self, text: str, hexadecimal: bool):
+        self.text, self.step, self.lanes = text, 2 if hexadecimal else 4, {}
+
+    def _lane(self, lane: int) -> bytes:
+        if lane not in self.lanes:
+            part = self.text[lane:]
+            if self.step == 2:
+                self.lanes[lane] = bytes.fromhex(part[:len(part) // 2 * 2])
+            else:
+                self.lanes[lane] = _from_base64(part[:-1] if len(part) % 4 == 1 else part) or b""
+        return self.lanes[lane]
+
+    def _first(self, start: int) -> int:
+        return start // self.step * (1 if self.step == 2 else 3)
+
+    def between(self, start: int, end: int) -> bytes:
+        size = (end - start) // 2 if self.step == 2 else (end - start) * 6 // 8
+        first = self._first(start)
+        return self._lane(start % self.step)[first:first + size]
+
+    def width(self, size: int) -> int:
+        """Characters that hold so many bytes."""
+        return size * 2 if self.step == 2 else (size * 8 + 5) // 6
+
+    def key_size(self, start: int) -> int:
+        """Bytes of the key that starts here by its head, 0 if none does."""
+        data, at = self._lane(start % self.step), self._first(start)
+        head = data[at:at + 12]
+        if head[:1] == b"\x30" and len(head) > 5:
+            size = head[1] & 0x7F if head[1] >= 0x80 else 0
+            return 2 + size + (int.from_bytes(head[2:2 + size], "big") if size else head[1]) if size <= 4 else 0
+        if head.startswith(b"open"):
+            return _ssh_size(memoryview(data)[at:])
+        if head.startswith(b"-----B"):
+            following = data.find(b"-----BEGIN ", at + 1)
+            body = data[at:following if following >= 0 else len(data)]
+            span = next(_armoured(body.decode("latin-1")), None)
+            return span[1] if span and span[0] == 0 else 0
+        return 0
 
 
 def _wrapped(text: str, chain: re.Match, gap: re.Pattern, hexadecimal: bool) -> Iterator[tuple[int, int]]:
@@ -189,25 +232,34 @@ def _wrapped(text: str, chain: re.Match, gap: re.Pattern, hexadecimal: bool) ->
         ends[size] = k
     heads = _HEX_HEADS if hexadecimal else _BASE64_HEADS
 
-    def decoded(a: int, b: int) -> bytes:
-        whole = joined[a:b]
-        if hexadecimal:
-            return bytes.fromhex(whole[:len(whole) // 2 * 2])
-        return _from_base64(whole[:-1] if len(whole) % 4 == 1 else whole) or b""
-
-    done = 0
+    whole, done = _Decoded(joined, hexadecimal), 0
     for k, start in enumerate(starts):
         if start < done or not joined[start:start + 16].lower().startswith(heads) and not joined.startswith(heads, start):
             continue
-        need = _key_size(decoded(start, start + 16), lambda start=start: decoded(start, len(joined)))
-        end = start + (need * 2 if hexadecimal else (need * 8 + 5) // 6)
+        need = whole.key_size(start)
+        end = start + whole.width(need)
         if need and end not in ends:  # the line break behind an armoured key
-            end = next((e for e in (end + n for n in range(1, 5)) if e in ends and not decoded(start, e)[need:].strip()), 0)
-        if need and ends.get(end, -1) > k and _holds_key(decoded(start, end)):
+            end = next((e for e in (end + n for n in range(1, 5))
+                        if e in ends and not whole.between(start, e)[need:].strip()), 0)
+        if need and ends.get(end, -1) > k and _holds_key(whole.between(start, end)):
             done = end
             yield runs[k][0], runs[ends[end]][1]
 
 
+def _glued(run: str) -> Iterator[tuple[int, int]]:
+    """Spans of keys in a run of which a path before or behind is a part, as its slashes are base64 characters too."""
+    text = run.rstrip("=")
+    whole, done = _Decoded(text, False), 0
+    for start in [0, *(m.end() for m in re.finditer("/", text))]:
+        if start < done or not text.startswith(_BASE64_HEADS, start):
+            continue
+        need = whole.key_size(start)
+        end = start + whole.width(need)
+        if need and (end == len(text) or text[end:end + 1] == "/") and _holds_key(whole.between(start, end)):
+            done = end
+            yield start, len(run) if end == len(text) else end
+
+
 def _json_object(segment: str) -> dict | None:
     data = _from_base64(segment)
     try:
@@ -217,21 +269,30 @@ def _json_object(segment: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+def _header(piece: str) -> tuple[int, dict | None]:
+    """Where a header that names an algorithm starts in the segment, and the header."""
+    if len(piece) < _LEAST_HEADER:
+        return 0, None
+    glued = _GLUED_HEADER.search(piece)
+    for head in dict.fromkeys([0 if _BRACE.match(piece) else -1, glued.start() if glued else -1]):
+        header = _json_object(piece[head:]) if head >= 0 else None
+        if header and isinstance(header.get("alg"), str):
+            return head, header
+    return 0, None
+
+
 def _tokens(text: str):
     """Spans of signed tokens (three segments) and encrypted ones (five), by their decoded headers."""
     for chain in _DOTTED.finditer(text):
-        if "eyJ" not in chain[0]:
-            continue
         pieces, offsets, at = chain[0].split("."), [], chain.start()
         for piece in pieces:
             offsets.append(at)
             at += len(piece) + 1
         k = 0
         while k + 2 < len(pieces):
-            head = pieces[k].find("eyJ")
-            header = _json_object(pieces[k][head:]) if head >= 0 else None
+            head, header = _header(pieces[k])
             size = 0
-            if header and isinstance(header.get("alg"), str):
+            if header:
                 if "enc" in header and k + 4 < len(pieces) and all(pieces[k + i] for i in (2, 3, 4)):
                     size = 5
                 elif _json_object(pieces[k + 1]) is not None and (pieces[k + 2] or header["alg"] == "none"):
@@ -241,6 +302,12 @@ def _tokens(text: str):
             k += size or 1
 
 
+def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the sorted, separate spans overlaps."""
+    k = bisect.bisect_right(spans, (start, math.inf))
+    return k > 0 and spans[k - 1][1] > start or k < len(spans) and spans[k][0] < end
+
+
 def scan_text(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans by start, then kind. Offsets count code points, ends are exclusive."""
     spans = []
@@ -253,17 +320,21 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     armoured = list(_armoured(text)) if "PRIVATE KEY-----" in text else []
     spans += [("pem", *span) for span in armoured]
     for m in _BASE64_RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in armoured) and _holds_key(_from_base64(m[0])):
+        if _meets(armoured, *m.span()):
+            continue
+        if _holds_key(_from_base64(m[0])):
             spans.append(("key", *m.span()))
+        elif "/" in m[0]:
+            spans += [("key", m.start() + a, m.start() + b) for a, b in _glued(m[0])]
     for m in _HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0 and _holds_key(bytes.fromhex(m[0])):
             spans.append(("key", *m.span()))
-    for pattern, gap, least in ((_BASE64_LINES, _BASE64_GAP, 56), (_HEX_LINES, _HEX_GAP, 80)):
+    for pattern, gap, least in ((_BASE64_LINES, _BASE64_GAP, _LEAST_BASE64), (_HEX_LINES, _HEX_GAP, _LEAST_HEX)):
         for m in pattern.finditer(text):
             if m.end() - m.start() >= least:
                 spans += [("key", *span) for span in _wrapped(text, m, gap, pattern is _HEX_LINES)
-                          if not any(a < span[1] and span[0] < b for a, b in armoured)]
-    if "eyJ" in text:
+                          if not _meets(armoured, *span)]
+    if _HEADER.search(text):
         spans += [("jwt", *span) for span in _tokens(text)]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -79,6 +79,17 @@ def test_resharding_moves_little(spark):
     assert sorted(written.select("doc_id", "text").collect()) == sorted(docs.collect())
 
 
+def test_resharding_without_old_shards(spark):
+    """New documents fill up the shards; those that had a place keep it where they fit."""
+    docs = spark.createDataFrame([(i if i % 7 else None, "x" * (i % 50)) for i in range(600)], "doc_id bigint, text string")
+    for old in (F.when(F.col("doc_id") % 2 == 0, F.lit(1)), F.lit(None).cast("int")):
+        rows = resharding.reshard(docs, old, 3).select("shard", "size", "old", "doc_id").collect()
+        assert len(rows) == 600 and {r.shard for r in rows} == {0, 1, 2}
+        sizes = [sum(r.size for r in rows if r.shard == k) for k in range(3)]
+        assert max(sizes) - min(sizes) < 200
+        assert all(r.old == 3 for r in rows if r.doc_id is None or r.doc_id % 2)
+
+
 def test_resharding_odd_rows(odd_docs, no_docs):
     rows = resharding.slots_digest(resharding.rewrite(resharding.reshard(odd_docs, F.lit(0), 3))).collect()
     assert len(rows) == odd_docs.count() and sum(r.size == 16 for r in rows) == 3
