@@ -53,8 +53,11 @@ class LineRules:
 
 
 def _length_of(text: Column, characters: str) -> Column:
-    """Code points of the text that are among the characters."""
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    """How many of the ASCII characters the text holds: each is one byte, and one that is not there costs one search."""
+    rest = text
+    for c in characters:
+        rest = F.replace(rest, F.lit(c))
+    return F.octet_length(text) - F.octet_length(rest)
 
 
 def _words(text: Column) -> Column:
@@ -85,9 +88,11 @@ def _facts_fail(facts: Column, rules: LineRules) -> Column:
 
 
 def judged_lines(text: Column, rules: LineRules = LineRules()) -> Column:
-    """The lines of a text, each with ``line`` and ``fails``: whether any rule is against it. Lines without words never fail."""
+    """The lines of a text, each with ``line``, ``wordy`` (has a word) and ``fails``: whether any rule is against it. Lines
+    without words never fail."""
     facts = F.transform(F.transform(F.split(text, "\n"), _line_facts), _with_words)
-    return F.transform(facts, lambda x: F.struct(x["line"].alias("line"), _facts_fail(x, rules).alias("fails")))
+    return F.transform(facts, lambda x: F.struct(
+        x["line"].alias("line"), (x["n"] > 0).alias("wordy"), _facts_fail(x, rules).alias("fails")))
 
 
 def _repeat_windows(df: DataFrame) -> DataFrame:
@@ -126,17 +131,18 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text
     own = [c for c in docs.columns if c != "_quality"]
     df = docs.select(
         *own, F.col(text_col).alias("_quality_text"), computed_once(_words(text)).alias("_quality_words"))
-    df = df.withColumn("_quality_n_words", F.size("_quality_words").cast("bigint"))
+    df = df.withColumns({"_quality_n_words": F.size("_quality_words").cast("bigint"),
+                         "_quality_word_chars": F.char_length(F.array_join("_quality_words", "")).cast("bigint")})
     df = _repeat_windows(df)
     text = F.coalesce(F.col("_quality_text"), F.lit(""))
     df = df.withColumn("_quality_lines", computed_once(judged_lines(text, rules)))
-    wordy = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    wordy = F.transform(F.filter("_quality_lines", lambda x: x["wordy"]), lambda x: x["line"])
     failed = F.filter("_quality_lines", lambda x: x["fails"])
     lost = F.aggregate(failed, F.lit(0).cast("bigint"), lambda acc, x: acc + _word_chars(x["line"]))
     clean = F.array_join(F.transform(F.filter("_quality_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
     base_failed = (F.col("_quality_n_words") < 10) | (F.col("_quality_n_repeat_words") * 100 > F.col("_quality_n_words") * 20)
     facts = [
-        F.col("_quality_n_words").alias("n_words"), _word_chars(text).alias("word_chars"),
+        F.col("_quality_n_words").alias("n_words"), F.col("_quality_word_chars").alias("word_chars"),
         _length_of(text, SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size(wordy) - F.size(F.array_distinct(wordy))).cast("bigint").alias("n_dup_lines"),
         F.col("_quality_n_repeat_words").alias("n_repeat_words"), base_failed.alias("base_failed"),
@@ -149,7 +155,7 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text
 
 
 def _word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, SPACE, "")).cast("bigint")
+    return (F.char_length(text) - _length_of(text, SPACE)).cast("bigint")
 
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
