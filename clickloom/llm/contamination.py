@@ -7,7 +7,11 @@ document, and the other way round; windows whose placeholders say otherwise are
 enough of its words are covered.
 
 Literal windows, of lower-case words and numbers as they stand, are joined beside them: for items of few plain words, of
-few words at all, and for copies in other capitals.
+few words at all, and for copies in other capitals. In scripts without spaces every letter counts as a word.
+
+A window that very many templates hold (a question stem) would meet all its documents with all its items. So each template
+defers its most widely shared windows, as long as they cover fewer words than a copy needs: every copy then matches one of
+the others, and the deferred ones are fetched only for the pairs of document and template that are already met.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm import batches
+from clickloom.plans.lookup import lookup_join
 from clickloom.plans.workspace import staged
 
 # Units, and numbers in words.
@@ -34,7 +39,9 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
                          "sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety "
                          "hundred thousand million billion".split())
-_BREAKS = frozenset(".!?:\n")
+_BREAKS = frozenset(".!?:\n。！？：")
+# Thai and Lao, Myanmar, Khmer, Hiragana and Katakana, and Han, which put no spaces between words.
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 # Words that are no names although they open sentences.
 NO_NAMES = frozenset("a an the this that these those some any all each every no one both many most more few several and or "
                      "but if so then when while as at by for from in into of on to with without after before since until "
@@ -42,7 +49,8 @@ NO_NAMES = frozenset("a an the this that these those some any all each every no
                      "are was were be do does did has have had can could will would shall should may might must not there "
                      "here let find give given calculate suppose assume consider determine compute show prove solve "
                      "write explain choose select".split())
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
+_TOKEN = re.compile(rf"[^\W\d_{_SPACELESS}]+|\d+(?:[.,]\d+)*|[.!?:\n。！？：]|(?![\W\d_])[{_SPACELESS}]")
+_LETTER = re.compile(f"[{_SPACELESS}]")
 _NUMBER, _NAME, _UNIT = "\x01number", "\x01name", "\x01unit"
 _SLOTS = (_NUMBER, _NAME, _UNIT)
 # Flags of a token beside the number of its word among the known ones.
@@ -56,6 +64,10 @@ _MEMORY = 500_000
 _TOGETHER = 1_000_000
 # Items with up to so many windows reach the tasks as a filter; beyond it every window is joined.
 SHIPPED_WINDOWS = 2_000_000
+# Up to so many words of items reach the tasks as a dictionary; beyond it documents get theirs by a join.
+SHIPPED_WORDS = 500_000
+# Windows in more templates than this are deferred where that loses no copy.
+SHARED_BY = 64
 
 
 @dataclass(frozen=True)
@@ -64,7 +76,7 @@ class TemplateRules:
 
     An item counts as present when at least ``percent`` of its words are covered, and no fewer than ``window`` words or
     two thirds of it. Lines of one copy are up to an item's length over ``drift`` apart. Items of ``shortest`` words, but
-    fewer than ``least``, count only as they stand.
+    fewer than ``least``, count only as they stand. Two letters of a script without spaces weigh as one word there.
     """
 
     window: int = 8
@@ -83,6 +95,10 @@ class TemplateRules:
             return words
         return max(-(-words * self.percent // 100), min(self.window, -(-words * 2 // 3)))
 
+    def enough_of(self, words: Column) -> Column:
+        share, two_thirds = F.ceil(words * self.percent / 100), F.ceil(words * 2 / 3)
+        return F.when(words < self.least, words).otherwise(F.greatest(share, F.least(F.lit(self.window), two_thirds)))
+
 
 def _code(token: str, low: str) -> int:
     """Flags of a token, without its word."""
@@ -203,15 +219,22 @@ def _slots(words: np.ndarray, real: np.ndarray, tokens: list[str], start: int, s
             for k in range(size) if words[start + k] >> _WORD_BITS]
 
 
+def _no_names(batch: pa.RecordBatch, common) -> frozenset[str]:
+    """The common words: all of them where they are shipped, otherwise those that the texts at hand have in capitals."""
+    if common is not None:
+        return common.value
+    return NO_NAMES.union(*(words or () for words in batch.column("common").to_pylist()))
+
+
 def _item_rows(rules: TemplateRules, common) -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(common.value)
+        templates = Templates(NO_NAMES)
         for batch in batches.slices(source):
-            rows = []
+            rows, templates.common = [], _no_names(batch, common)
             for item, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words, literal, real, tokens = templates.read([text])
                 words, literal = words[:-1], literal[:-1]
-                if len(words) < rules.shortest:
+                if len(words) - sum(map(bool, map(_LETTER.match, tokens))) // 2 < rules.shortest:
                     continue
                 exact = xxhash.xxh3_128_hexdigest(literal.tobytes())
                 n, sizes, own = len(words), rules.sizes(len(words)), []
@@ -249,18 +272,35 @@ def _item_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      {"word": pa.string(), "small": pa.int64(), "inside": pa.int64()})
 
 
+def _capital_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lower-cased words that the texts have with a capital, but for those that are never names."""
+    for batch in batches.slices(source):
+        rows = {(key, t.lower()) for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(),
+                                                      strict=True) for t in _TOKEN.findall(text) if t[0] != t[0].lower()}
+        yield _batch([r for r in rows if r[1] not in NO_NAMES], {"key": pa.string(), "word": pa.string()})
+
+
+def _with_common(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds the common words that a text has in capitals, met by joins; equal texts are looked up once."""
+    keyed = texts.withColumn("key", F.md5("text"))
+    capitals = keyed.select("key", "text").mapInArrow(_capital_words, "key string, word string").distinct()
+    known = lookup_join(capitals, words.where("common"), "word").where("common")
+    return lookup_join(keyed, known.groupBy("key").agg(F.collect_list("word").alias("common")), "key",
+                       ["doc_id", "text"]).drop("key")
+
+
 def _doc_rows(rules: TemplateRules, sizes: dict[int, list[int]], common, filters) -> Callable:
     """Windows of documents: those in the filter, or all where there is none."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words_known, wanted = filters.value if filters else (None, None)
-        templates = Templates(common.value, words_known)
+        templates = Templates(NO_NAMES, words_known)
         row = TaskContext.get().partitionId() << 40
         kinds = {"row": pa.int64(), "doc_id": pa.int64(), "size": pa.int32(), "at": pa.int64(), "hash": pa.int64(),
                  "slots": pa.list_(pa.string())}
         for batch in batches.slices(source):
-            rows = []
+            rows, templates.common = [], _no_names(batch, common)
             ids, at = batch.column("doc_id").to_pylist(), 0
             for texts in together(batch.column("text").to_pylist()):
                 words, literal, real, tokens = templates.read(texts)
@@ -284,21 +324,60 @@ def _doc_rows(rules: TemplateRules, sizes: dict[int, list[int]], common, filters
     return run
 
 
+def _deferred(windows: DataFrame, held: DataFrame, rules: TemplateRules) -> DataFrame:
+    """Adds ``later`` to the widely ``held`` windows that their template can do without.
+
+    A word of a template is as frequent as the most frequent of such windows over it. The windows above the frequency
+    that as many words as a copy needs reach cover fewer words than that, so they make no copy by themselves.
+    """
+    tagged = staged(windows.join(held, ["size", "hash"], "left"), "shared")
+    places = tagged.where("held is not null").select(
+        "template", "item_tokens", "held", F.explode(F.expr("sequence(item_at, item_at + size - 1)")).alias("place"))
+    places = places.groupBy("template", "place").agg(F.max("held").alias("held"), F.first("item_tokens").alias("item_tokens"))
+    rank = F.row_number().over(Window.partitionBy("template").orderBy(F.desc("held"), "place"))
+    needed = places.withColumn("rank", rank).where(F.col("rank") == rules.enough_of(F.col("item_tokens"))).select(
+        "template", F.col("held").alias("needed"))
+    later = F.coalesce(F.col("held") > F.coalesce("needed", F.lit(0)), F.lit(False))
+    return tagged.join(needed, "template", "left").withColumn("later", later).drop("held", "needed")
+
+
+def _met(found: DataFrame, windows: DataFrame, rules: TemplateRules, shared_by: int) -> DataFrame:
+    """Windows of documents with those of templates that have the same hash."""
+    held = windows.groupBy("size", "hash", "template").agg(F.lit(1).alias("one")).groupBy("size", "hash").agg(
+        F.count("one").alias("held")).where(F.col("held") > shared_by)
+    held = staged(held, "held")
+    if held.isEmpty():
+        return found.join(windows, ["size", "hash"])
+    windows = staged(_deferred(windows, held, rules), "deferred")
+    found = staged(found, "windows")
+    first = found.join(windows.where("not later").drop("later"), ["size", "hash"])
+    asked = first.select("row", "template").distinct().join(windows.where("later").drop("later"), "template")
+    return first.unionByName(found.join(asked, ["row", "size", "hash"]))
+
+
 def find_items(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), id_col: str = "doc_id",
                text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-               shipped_windows: int = SHIPPED_WINDOWS) -> DataFrame:
+               shipped_windows: int = SHIPPED_WINDOWS, shipped_words: int = SHIPPED_WORDS,
+               shared_by: int = SHARED_BY) -> DataFrame:
     """(``doc_id``, ``item_id``) for every item found, with ``covered`` and ``item_tokens``, ``slots`` and ``changed``.
 
     ``slots`` counts the different values behind placeholders of the matched part and ``changed`` those that are others
     in the document; 0 changed is a literal copy. Items with equal templates count as one, under their smallest id;
     without ids it is null. Windows that match literally count no values. Items of fewer than ``rules.shortest`` words,
     and null or empty texts on either side, match nothing. One row per document id and item, with its best-covered place; repeated rows agree in it.
+    ``shipped_windows``, ``shipped_words`` and ``shared_by`` choose between roads to the same rows.
     """
     spark = docs.sparkSession
-    texts = batches.texts(items, item_col, item_text_col)
-    words = texts.select("text").mapInArrow(_item_words, "word string, small bigint, inside bigint").groupBy("word").agg(
-        (F.sum("small") > F.sum("inside")).alias("common")).toPandas()
-    common = spark.sparkContext.broadcast(frozenset(words["word"][words["common"].astype(bool)]) | NO_NAMES)
+    texts, doc_texts = batches.texts(items, item_col, item_text_col), batches.texts(docs, id_col, text_col)
+    words = staged(texts.mapInArrow(_item_words, "word string, small bigint, inside bigint").groupBy("word").agg(
+        (F.sum("small") > F.sum("inside")).alias("common")), "words")
+    common = numbers = None
+    if words.count() <= shipped_words:
+        known = words.toPandas()
+        common = spark.sparkContext.broadcast(frozenset(known["word"][known["common"].astype(bool)]) | NO_NAMES)
+        numbers = {w: word_number(w) for w in known["word"]}
+    else:
+        texts, doc_texts = _with_common(texts, words), _with_common(doc_texts, words)
     windows = staged(texts.mapInArrow(
         _item_rows(rules, common),
         "item_id bigint, template string, item_tokens bigint, size int, literal string, item_at bigint, hash bigint, "
@@ -318,18 +397,17 @@ def find_items(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     if windows.count() <= shipped_windows:
         hashes = windows.select(seed, "size", "hash").distinct().toPandas()
         wanted = {k: np.sort(g["hash"].to_numpy(dtype=np.int64)) for k, g in hashes.groupby(["seed", "size"])}
-        filters = spark.sparkContext.broadcast(({w: word_number(w) for w in words["word"]}, wanted))
-    found = batches.texts(docs, id_col, text_col).mapInArrow(
+        filters = spark.sparkContext.broadcast((numbers, wanted))
+    found = doc_texts.mapInArrow(
         _doc_rows(rules, sizes, common, filters),
         "row bigint, doc_id bigint, size int, at bigint, hash bigint, slots array<string>")
-    pairs = found.join(windows, ["size", "hash"])
-    return _judged(pairs, rules)
+    return _judged(_met(found, windows, rules, shared_by), rules)
 
 
-Window = tuple[int, int, int, list[str], list[str]]
+Matched = tuple[int, int, int, list[str], list[str]]
 
 
-def _judge(rules: TemplateRules, item_tokens: int, windows: list[Window]) -> tuple[int, int, int] | None:
+def _judge(rules: TemplateRules, item_tokens: int, windows: list[Matched]) -> tuple[int, int, int] | None:
     """Covered words, values and changed values of matching windows (item and document place, size, both slots)."""
     on_line = Counter(at - item_at for item_at, at, *_ in windows)
     main = max(on_line, key=lambda line: (on_line[line], -line))
@@ -346,7 +424,7 @@ def _judge(rules: TemplateRules, item_tokens: int, windows: list[Window]) -> tup
     return None if covered < rules.enough(item_tokens) else (covered, len(values), sum(i != d for i, d in values))
 
 
-def _agreed(windows: list[Window]) -> set[tuple[str, str]] | None:
+def _agreed(windows: list[Matched]) -> set[tuple[str, str]] | None:
     """Pairs of values, each value once: the most frequent pair of an item value, and unchanged ones before others.
 
     None where nothing but other values for one another remains: several values turned into one are no copy.
@@ -362,7 +440,7 @@ def _agreed(windows: list[Window]) -> set[tuple[str, str]] | None:
     return agreed if agreed or not votes else None
 
 
-def _values(window: Window) -> list[tuple[str, str]]:
+def _values(window: Matched) -> list[tuple[str, str]]:
     """Type and value of the placeholders in the item, and in the document."""
     return [(i.split(" ", 1)[1], d.split(" ", 1)[1]) for i, d in zip(window[3], window[4], strict=True)]
 
