@@ -45,9 +45,14 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(TRIM_CHARS))
 
 
-def sanitize(c: Column, max_chars: int) -> Column:
-    """Trim, drop control characters, keep the first ``max_chars`` characters."""
-    return F.substring(F.regexp_replace(trimmed(c), CONTROL_CHARS, ""), 1, max_chars)
+def cleaned(c: Column) -> Column:
+    """Trim, drop control characters."""
+    return F.regexp_replace(trimmed(c), CONTROL_CHARS, "")
+
+
+def sanitize(c: Column, max_chars: int | None) -> Column:
+    """Trim, drop control characters, keep the first ``max_chars`` characters (all for None)."""
+    return cleaned(c) if max_chars is None else F.substring(cleaned(c), 1, max_chars)
 
 
 def single_line(c: Column, max_chars: int = 255) -> Column:
@@ -79,8 +84,10 @@ def keep_letters(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z]", "")
 
 
-def first_bytes(c: Column, n: int) -> Column:
-    """First ``n`` bytes of the UTF-8 text; a character cut in half becomes the replacement character."""
+def first_bytes(c: Column, n: int | None) -> Column:
+    """First ``n`` bytes of the UTF-8 text (all for None); a character cut in half becomes the replacement character."""
+    if n is None:
+        return c
     cut = F.substring(c.cast("binary"), 1, n).cast("string")
     return F.when(F.octet_length(c) <= n, c).otherwise(F.make_valid_utf8(cut))
 
