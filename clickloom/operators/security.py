@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from clickloom.plans.lookup import lookup_join
+from clickloom.plans.lookup import fits_broadcast, lookup_join
 from clickloom.plans.pruning import DAY, since
+from clickloom.plans.workspace import staged
 
 RATE_LIMIT_MAX = 120
 RATE_LIMIT_WINDOW = 60
@@ -179,9 +180,11 @@ def rate_limit(
     ``carried``: requests counted before, see ``request_windows``; no second of theirs is met in ``df``.
 
     Only the second in which a window fills up needs an order among its requests; there the first ``max_requests``
-    per task are kept before the shuffle, so a second with very many requests is not gathered.
+    per task are kept before the shuffle, so a second with very many requests is not gathered. The seconds with
+    denied requests are found once and written, so that their number is known: where they are few, the requests
+    themselves are not shuffled.
     """
-    full = _denied_seconds(df, max_requests, window, carried).withColumn("_slot", _slot())
+    full = staged(_denied_seconds(df, max_requests, window, carried).withColumn("_slot", _slot()), "denied")
     spread = ["ip", "ts", order]
     slotted = df.withColumn("_slot", _slot())
     split = full.where("room > 0").select("_slot", "room")
@@ -189,8 +192,11 @@ def rate_limit(
     place = F.row_number().over(Window.partitionBy("_slot").orderBy(order))
     ranked = ranked.where("room is not null").withColumn("_place", place).where(F.col("_place") <= max_requests)
     edge = ranked.where("_place = room").select("_slot", F.col(order).alias("_last"))
-    limits = full.join(edge, "_slot", "left").select("_slot", "_last", "window_start", F.lit(True).alias("_full"))
-    joined = lookup_join(slotted, limits, "_slot", spread)
+    # One row per row of ``full`` at most in both, so its size bounds theirs, which Catalyst cannot know.
+    small = fits_broadcast(full)
+    limits = full.join(F.broadcast(edge) if small else edge, "_slot", "left").select(
+        "_slot", "_last", "window_start", F.lit(True).alias("_full"))
+    joined = slotted.join(F.broadcast(limits), "_slot", "left") if small else lookup_join(slotted, limits, "_slot", spread)
     denied = F.col("_full").isNotNull() & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))
     out = joined.withColumn("allowed", ~denied)
     return out.select(*df.columns, "allowed", F.when(~F.col("allowed"), F.col("window_start")).alias("window_start"))

@@ -85,8 +85,7 @@ def postback_delivery_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def traffic_stats(df: DataFrame, as_of: int, ts: str = "ts") -> DataFrame:
-    """Row count, whole days since the oldest and the newest row, estimated bytes."""
+def _traffic_stats(as_of: int, ts: str) -> list[Column]:
     total = F.count(F.lit(1))
 
     def age(edge: Column) -> Column:
@@ -94,12 +93,13 @@ def traffic_stats(df: DataFrame, as_of: int, ts: str = "ts") -> DataFrame:
         days = (F.lit(as_of) - edge) / DAY
         return F.coalesce(F.when(edge != 0, days.cast("bigint")), F.lit(0).cast("bigint"))
 
-    return df.agg(
-        total.alias("total"),
-        age(F.min(ts)).alias("oldest_days"),
-        age(F.max(ts)).alias("newest_days"),
-        (total * BYTES_PER_LOG).alias("size_estimate"),
-    )
+    return [total.alias("total"), age(F.min(ts)).alias("oldest_days"), age(F.max(ts)).alias("newest_days"),
+            (total * BYTES_PER_LOG).alias("size_estimate")]
+
+
+def traffic_stats(df: DataFrame, as_of: int, ts: str = "ts") -> DataFrame:
+    """Row count, whole days since the oldest and the newest row, estimated bytes."""
+    return df.agg(*_traffic_stats(as_of, ts))
 
 
 def today(df: DataFrame, as_of: int) -> DataFrame:
@@ -195,17 +195,19 @@ def estimated_revenue(df: DataFrame, default_payout: Decimal) -> DataFrame:
 def dashboard(df: DataFrame, as_of: int, limit: int = 50) -> DataFrame:
     """Newest rows of today, table statistics and today's decision counts as one tall result.
 
-    Columns: section, name, value. Log rows carry their content as JSON.
+    Columns: section, name, value. Log rows carry their content as JSON. Two scans: today's rows for the newest ones,
+    and one over the whole table for all numbers.
     """
     from clickloom.operators.browse import page
 
     rows = page(df, limit, 0, as_of)
     logs = rows.select(F.lit("log").alias("section"), F.col("id").cast("string").alias("name"),
                        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    stats = traffic_stats(df, as_of).select(F.lit("stat").alias("section"), F.expr(
-        "stack(4, 'total', total, 'oldest_days', oldest_days, 'newest_days', newest_days, "
-        "'size_estimate', size_estimate) AS (name, n)"))
-    counts = count_by_decision(df, as_of).select(
-        F.lit("decision").alias("section"), F.col("decision").alias("name"), "n")
-    numbers = stats.unionByName(counts)
-    return logs.unionByName(numbers.select("section", "name", F.col("n").cast("string").alias("value")))
+    of_today = F.col("ts") >= midnight(as_of)
+    counts = [F.count_if(of_today & (F.col("decision") == d)).alias(f"decision_{d}") for d in ("A", "B")]
+    lines = [("stat", n, n) for n in ("total", "oldest_days", "newest_days", "size_estimate")]
+    lines += [("decision", d, f"decision_{d}") for d in ("A", "B")]
+    numbers = df.agg(*_traffic_stats(as_of, "ts"), *counts).select(F.inline(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), F.col(c).cast("string").alias("value"))
+        for section, name, c in lines])))
+    return logs.unionByName(numbers)

@@ -377,6 +377,13 @@ FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS hos
         "injection_scan_rows": f"SELECT page_id, {has}, {any_flag} AS suspicious FROM pages",
         "schema_check": "SELECT event_id, event_id % 4 = 0 AS schema_ok FROM events",
         "quality_report": rules,
+        "repair_values": """
+SELECT page_id, substring(trim(replace(translate(' ../' || url || '?a=<b>|"c"*..', '/\\<>:"|?*', ''), '..', '')), 1, 255) AS file_name,
+  CASE WHEN page_id % 3 <> 0 THEN 'webmaster' || page_id || '@' || regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) END AS email,
+  CASE WHEN page_id % 4 = 0 AND page_id <= 5000 THEN page_id ELSE -1 END AS whole,
+  CASE WHEN page_id % 3 = 0 AND page_id + 0.25 <= 100000 THEN page_id + CAST(0.25 AS DOUBLE)
+    WHEN page_id % 3 = 2 AND page_id * 100 <= 100000 THEN CAST(page_id * 100 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS real
+FROM pages""",
         "quality_quarantine": f"""
 SELECT id, concat_ws(',', CASE WHEN ip = 'not-an-ip' THEN 'valid_ip' END,
   CASE WHEN NOT coalesce(country_code IN {_KNOWN}, false) THEN 'country' END) AS failed_rules

@@ -566,6 +566,22 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(r, rules)
 
 
+@_register
+def repair_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-dirty forms of page addresses and ids, repaired: file names, mail addresses, integers and floats."""
+    p, number = read(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)
+    file = F.concat(F.lit(" ../"), F.col("url"), F.lit('?a=<b>|"c"*\x1f\t..\\ '))
+    mail = F.concat(F.lit(" web master("), number, F.lit(")"), F.when(F.col("page_id") % 3 == 0, "@@").otherwise("@"), host)
+    whole = _pick(F.col("page_id") % 4, number, F.concat(F.lit("0"), number), F.concat(F.lit("-"), number),
+                  F.concat(number, F.lit(".5")))
+    real = _pick(F.col("page_id") % 3, F.concat(number, F.lit(".25")), F.concat(number, F.lit("x")),
+                 F.concat(number, F.lit("e2")))
+    return p.select(
+        "page_id", text.safe_file_name(file).alias("file_name"), text.clean_email(mail).alias("email"),
+        numbers.int_or(whole, -1, 0, 5000).alias("whole"), numbers.float_or(real, -1.0, 0, 100000).alias("real"))
+
+
 @_register
 def quality_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"valid_ip": net.is_ip(F.col("ip")), "country": geo.is_country(F.col("country_code"))}

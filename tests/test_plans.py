@@ -55,6 +55,15 @@ def test_group_limit_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in _plan(registry.queries()["rate_limit_violations"](spark, sf_dir))
 
 
+def test_limits_are_followed_once(spark, sf_dir):
+    plan = _plan(registry.queries()["rate_limit_violations"](spark, sf_dir))
+    assert "InPandas" not in plan and plan.count("Join") == plan.count("BroadcastHashJoin") == 3
+
+
+def test_dashboard_scans_twice(spark, sf_dir):
+    assert _plan(registry.queries()["dashboard"](spark, sf_dir)).count("FileScan parquet") == 2
+
+
 def test_cleaning_runs_once_under_a_filter(spark, sf_dir):
     given = F.create_map(F.lit("status"), F.col("status"), F.lit("payout"), F.col("payout").cast("string"),
                          F.lit("country"), F.col("country_code"), F.lit("click_id"), F.col("click_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import security, stats
 from clickloom.operators.routing import decide
-from clickloom.plans import workspace
+from clickloom.plans import lookup, workspace
 from clickloom.plans.keyed import latest_per_key
 from clickloom.registry import SETTINGS
 from clickloom.sources import derived
@@ -47,6 +47,21 @@ def test_decide(spark, sf_dir, tmp_path):
     _same(done, decide(requests, SETTINGS, reputation))
 
 
+def test_lookup_of_a_hot_key(spark, setting, tmp_path):
+    """A key with a third of all rows, missing and unmatched keys, beyond the broadcast bound."""
+    rows = spark.range(6000).select("id", F.expr("id div 1500").alias("ts"), F.expr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 <> 0 THEN concat('k', id % 40) END").alias("k"))
+    right = spark.createDataFrame([("hot", 1, "h")] + [(f"k{i}", i, None) for i in range(0, 40, 2)], "k string, a int, b string")
+    stream = _replay(spark, rows, f"{tmp_path}/in")
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = lookup.lookup_join(stream, right, "k")
+    assert out.columns == ["k", "id", "ts", "a", "b"]
+    done = spark.read.schema(out.schema).parquet(sinks.run_available(out, "t"))
+    _same(done, rows.join(right, "k", "left"))
+    split = lookup.dealt(rows.where("k = 'hot'"), ["id"]).groupBy("_share").count().collect()
+    assert len(split) == lookup.STREAM_SHARES and max(r["count"] for r in split) < 2000 / 8
+
+
 def test_rate_limit(spark, sf_dir, tmp_path):
     requests = derived.squeezed(spark, sf_dir)
     for most in (3, 120):
