@@ -1,7 +1,8 @@
 """Personal data in texts, also where it is disguised, with offsets into the source.
 
-The plain patterns run on the source. Then transducers rewrite disguises: look-alike letters and digits, spelled
-digits, and "at" and "dot" in words or brackets. Each keeps, for every character it writes, the source span that it
+The plain patterns run on the source. Then transducers rewrite disguises: look-alike letters and digits, character
+references, letters in the shape of digits, digits in words of four languages, and "at" and "dot" in words, brackets or
+between spaces. Each keeps, for every character it writes, the source span that it
 stands for. The same patterns run on the rewritten text, and what they find is mapped back to source characters.
 """
 
@@ -37,28 +38,60 @@ LOOK_ALIKES = {
     "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ",
 }
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-_DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
-                "seven": "7", "eight": "8", "nine": "9"}
+# Digits in English, German, Spanish and French.
+_DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
+    "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6",
+    "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8",
+    "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+# Names of the two signs in these languages, and named character references.
+_AT_WORDS = ("at", "arroba", "arobase", "klammeraffe")
+_DOT_WORDS = ("dot", "punkt", "punto", "point")
+_REFERENCES = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "nbsp": " "}
+# Signs that are written for digits.
+_DIGIT_SHAPES = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1"}
 # Last labels that are believed where "at" and "dot" are plain words.
 TOP_LABELS = frozenset("com org net edu gov mil int info biz io ai app dev co me tv us uk de fr es it nl be ch at pl "
                        "se no dk fi ie pt br mx in cn jp kr ru au nz ca za eu".split())
 
+# Last labels that are also common words; they are not believed after a dot between spaces.
+_WORD_LABELS = frozenset("at be de es in it me no se us".split())
 # Words that no address has before its first spelled dot.
 _NO_LABEL = frozenset("the a an this that our your my his her their its".split())
 
-_ONE = "|".join(_DIGIT_WORDS)
+
+def _any_of(words: dict[str, str]) -> str:
+    """A pattern for any of the words, which looks at the first letter once."""
+    by_first: dict[str, list[str]] = {}
+    for word in words:
+        by_first.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items())
+
+
+_ONE = _any_of(_DIGIT_WORDS)
 _GAP = r"\s{0,3}"
-_DOT = rf"(?:\.|{_GAP}[\[({{<]{_GAP}(?:dot|\.){_GAP}[\])}}>]{_GAP}|\x20dot\x20)"
-_DIGIT_DOT = rf"{_GAP}[\[({{<]{_GAP}(?:dot|point|\.){_GAP}[\])}}>]{_GAP}|\x20(?:dot|point)\x20"
+_DOT_WORD = "|".join(_DOT_WORDS)
+_DOT = rf"(?:\.|{_GAP}[\[({{<]{_GAP}(?:{_DOT_WORD}|\.){_GAP}[\])}}>]{_GAP}|\x20(?:{_DOT_WORD})\x20)"
+_DIGIT_DOT = rf"{_GAP}[\[({{<]{_GAP}(?:{_DOT_WORD}|\.){_GAP}[\])}}>]{_GAP}|\x20(?:{_DOT_WORD})\x20"
 # Digits in words and in signs, one after another: what is between them is a dot, or what numbers are grouped with.
 _DIGIT = rf"(?:(?:{_ONE})(?![a-z])|[0-9]++)"
 _DIGIT_CHAIN = re.compile(rf"(?ai)(?<![a-z0-9])(?:plus[\x20-])?{_DIGIT}(?:(?:{_DIGIT_DOT}|[\x20(),-]{{1,3}}|\.){_DIGIT})*+")
-_CHAIN_PART = re.compile(rf"(?ai)(?P<plus>plus[\x20-])|(?P<word>{_ONE})|(?P<number>[0-9]+)|(?P<dot>{_DIGIT_DOT})|"
+_CHAIN_PART = re.compile(rf"(?ai)(?P<plus>plus[\x20-])|(?P<word>(?:{_ONE})(?![a-z]))|(?P<number>[0-9]+)|(?P<dot>{_DIGIT_DOT})|"
                          r"(?P<gap>[\x20(),.-]{1,3})")
-_AT = re.compile(rf"(?ai){_GAP}[\[({{<]{_GAP}(?:at|@){_GAP}[\])}}>]{_GAP}|\x20at\x20|@")
-_LABELS = re.compile(rf"(?ai)([a-z0-9-]{{1,63}})((?:{_DOT}[a-z0-9-]{{1,63}}){{1,8}})")
-_ONE_DOT = re.compile(rf"(?ai){_DOT}")
-_NAME_BEFORE = re.compile(rf"(?ai)(?:[a-z0-9_%+-]{{1,64}}{_DOT}){{0,4}}[a-z0-9_%+-]{{1,64}}$")
+_AT_WORD = "|".join(_AT_WORDS)
+_AT = re.compile(rf"(?ai){_GAP}[\[({{<]{_GAP}(?:{_AT_WORD}|@){_GAP}[\])}}>]{_GAP}|\x20(?:{_AT_WORD})\x20|\x20@\x20|@")
+# A chain of labels ends before the next sign for "at", and so does a name: no place is read for two of them.
+_LABELS = re.compile(rf"(?ai)([a-z0-9-]++)((?:{_DOT}[a-z0-9-]++)++)")
+_SPACED_LABELS = re.compile(rf"(?ai)([a-z0-9-]++)((?:(?:{_DOT}|\x20\.\x20)[a-z0-9-]++)++)")
+_ONE_DOT = re.compile(rf"(?ai){_DOT}|\x20\.\x20")
+_DOT_BEFORE = re.compile(rf"(?ai){_DOT}\Z")
+# Longest sign for a dot: a word in brackets with gaps.
+_DOT_WIDTH = max(map(len, _DOT_WORDS)) + 2 + 4 * 3
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -171,13 +204,44 @@ _ODD = re.compile("[\u00a0\u00ad\u0131\u0250-\u02ff\u0370-\u058f\u0600-\u1cff\u2
                   "\ua620-\uabff\ufe50-\ufeff\uff00-\uffef\U00010000-\U0001ffff]")
 
 
+_REFERENCE = re.compile(rf"(?ai)&(?:#0{{0,5}}([0-9]{{2,3}})|#x0{{0,5}}([0-9a-f]{{2}})|({'|'.join(_REFERENCES)}));")
+
+
 def look_alikes(text: str) -> Rewritten | None:
+    """Look-alike letters, digits of other scripts, invisible characters, and character references to ASCII signs."""
     edits = []
+    if "&" in text:
+        for m in _REFERENCE.finditer(text):
+            code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else ord(_REFERENCES[m[3].lower()])
+            if 0x20 <= code < 0x7F:
+                edits.append((m.start(), m.end(), chr(code), None))
     if not text.isascii():
         for m in _ODD.finditer(text):
             new = _look_alike(m[0])
             if new is not None:
                 edits.append((m.start(), m.end(), new, None))
+    return Rewritten(text, sorted(edits, key=lambda e: e[0])) if edits else None
+
+
+_SHAPED = re.compile(r"[0-9][OoIl|]|[OoIl|][0-9]|[0-9]\.[OoIl|]|[OoIl|]\.[0-9]")
+_SHAPE_GROUP = re.compile(r"(?<![A-Za-z0-9|])[0-9OoIl|]++(?![A-Za-z0-9])")
+
+
+def digit_shapes(text: str) -> Rewritten | None:
+    """O, o, I, l and | in groups that have digits, and alone at a dot between such groups. A | counts in groups of at
+    most four signs only, as it also parts columns of numbers."""
+    edits = []
+    if _SHAPED.search(text):
+        for m in _SHAPE_GROUP.finditer(text):
+            group, (start, end) = m[0], m.span()
+            if group.isdigit() or "|" in group and len(group) > 4:
+                continue
+            digits = any(c.isdigit() for c in group)
+            at_dot = (text[start - 1:start] == "." and text[start - 2:start - 1] in {*"0123456789", *_DIGIT_SHAPES}
+                      if start > 1 else False) or (
+                text[end:end + 1] == "." and text[end + 1:end + 2] in {*"0123456789", *_DIGIT_SHAPES})
+            if digits or len(group) == 1 and at_dot:
+                edits += [(k, k + 1, _DIGIT_SHAPES[c], None) for k, c in enumerate(group, start) if c in _DIGIT_SHAPES]
     return Rewritten(text, edits) if edits else None
 
 
@@ -208,35 +272,62 @@ def spelled_digits(text: str) -> Rewritten | None:
     return Rewritten(text, edits) if edits else None
 
 
+def _name_start(text: str, low: int, end: int) -> int:
+    """Start of the name that ends here: labels with dots between them, walked back; ``end`` where there is none."""
+    start = end
+    while True:
+        at = start
+        while at > low and text[at - 1] in _NAME:
+            at -= 1
+        if at == start:
+            return first if start != end else end
+        first = at
+        dot = _DOT_BEFORE.search(text, max(low, at - _DOT_WIDTH), at)
+        if not dot:
+            return first
+        start = dot.start()
+
+
 def spelled_signs(text: str) -> Rewritten | None:
     """"at" and "dot" around the name and the labels of a mail address.
 
-    Bracketed signs are believed as they stand. Plain words need each other, and a known last label.
+    Bracketed signs are believed as they stand. Plain words need each other, and a known last label or two spelled dots;
+    signs between spaces need a known last label that is no word, and "point" needs an "at" that is not English.
     """
     edits, last = [], 0
     for at in _AT.finditer(text):
-        labels = _LABELS.match(text, at.end())
-        name = _NAME_BEFORE.search(text, max(last, at.start() - 330), at.start())
-        if not labels or not name:
+        sign = at[0].strip().lower()
+        spaced = at[0] == " @ "
+        labels = (_SPACED_LABELS if spaced else _LABELS).match(text, at.end())
+        begin = _name_start(text, last, at.start()) if labels else at.start()
+        if begin == at.start():
             continue
         dots = [(d.start(), d.end()) for d in _ONE_DOT.finditer(text, labels.start(2), labels.end())]
-        before = [(d.start(), d.end()) for d in _ONE_DOT.finditer(text, name.start(), name.end())]
-        starts = [name.start(), *(b for _, b in before)]
+        before = [(d.start(), d.end()) for d in _ONE_DOT.finditer(text, begin, at.start())]
+        starts = [begin, *(b for _, b in before)]
         for k in range(len(before) - 1, -1, -1):  # "connect the dot ann@..." has no name "the"
-            if text[starts[k]:before[k][0]].lower() in _NO_LABEL and text[slice(*before[k])].strip().lower() == "dot":
+            if text[starts[k]:before[k][0]].lower() in _NO_LABEL and text[slice(*before[k])].strip().lower() in _DOT_WORDS:
                 before = before[k + 1:]
                 break
-        plain_at = at[0].strip().lower() == "at"
+        signs = [text[a:b].strip().lower() for a, b in dots]
+        plain_at = sign in _AT_WORDS
         spoken = [d for d in dots if text[d[0]:d[1]] != "."]
-        words = any(text[a:b].strip().lower() == "dot" for a, b in dots)
+        words = [s for s in signs if s in _DOT_WORDS]
         if at[0] == "@" and not spoken and all(text[a:b] == "." for a, b in before):
             continue
         top = text[dots[-1][1]:labels.end()].lower()
-        if plain_at and labels[1].lower() in _NO_LABEL:
+        if (plain_at or spaced) and labels[1].lower() in _NO_LABEL or not re.search("(?a)[a-z]", top):
+            continue
+        if at[0] in (" at ", "@", " @ ") and "point" in [*words, *(text[a:b].strip().lower() for a, b in before)]:
+            continue
+        known = top in TOP_LABELS
+        if spaced and (not known or top in _WORD_LABELS):
             continue
-        if plain_at and not spoken or (plain_at or words) and top not in TOP_LABELS or not re.search("(?a)[a-z]", top):
+        spelled_out = plain_at and len(words) > 1 and len(words) == len(dots) and re.fullmatch("(?a)[a-z]{2,}", top) \
+            and top not in _DOT_WORDS and top not in _AT_WORDS and top not in _NO_LABEL
+        if plain_at and not spoken or (plain_at or words) and not known and not spelled_out:
             continue
-        if not plain_at and not spoken and at[0] == "@" and not any(text[a:b].strip() != "." for a, b in before):
+        if at[0] == "@" and not spoken and not any(text[a:b].strip() != "." for a, b in before):
             continue
         found = [*[(a, b, ".", None) for a, b in before], (at.start(), at.end(), "@", None),
                  *[(a, b, ".", None) for a, b in dots]]
@@ -256,7 +347,7 @@ def scan_text(text: str) -> list[Span]:
     layers: list[Rewritten] = []
     current = text
     added: set[Span] = set()
-    for step in (look_alikes, spelled_digits, spelled_signs):
+    for step in (look_alikes, digit_shapes, spelled_digits, spelled_signs):
         layer = step(current)
         if layer:
             layers.append(layer)

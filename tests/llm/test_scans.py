@@ -159,6 +159,41 @@ def test_words_and_digits_mixed(kind, value):
     assert [(k, text[a:b]) for k, a, b in pii.scan_text(text)] == [(kind, value)]
 
 
+@pytest.mark.parametrize("kind,value", [
+    ("ip", "1O.0.0.1"), ("ip", "10.O.O.l"), ("card", "4111 1111 1111 l111"), ("card", "4111-1111-111I-1111"),
+    ("card", "4111 1111 1111 |111"), ("phone", "+1 555 O1O 1234"),
+    ("card", "vier eins eins eins 1111 1111 1111"), ("phone", "plus uno cinco cinco cinco uno dos tres cuatro cinco seis"),
+    ("ip", "dix point".replace("dix", "10") + " zéro point zéro point sept"), ("ip", "10 Punkt 0 Punkt 0 Punkt fünf"),
+    ("email", "john arroba example punto com"), ("email", "jean arobase exemple point fr"),
+    ("email", "hans Klammeraffe beispiel Punkt de"), ("email", "john at sub dot example dot museum"),
+    ("email", "john&#64;example.com"), ("email", "john&commat;example&#x2e;com"), ("email", "john @ example . com"),
+    ("email", "john @ example.com"), ("email", "a.b.c.d.e.f.g (at) " + "h (dot) " * 12 + "com"),
+    ("email", "x" * 400 + " [at] " + "y" * 80 + ".com"),
+])
+def test_shapes_languages_and_references(kind, value):
+    text = f"see: {value}, there"
+    assert (kind, value) in [(k, text[a:b]) for k, a, b in pii.scan_text(text)]
+
+
+def test_shapes_beside_plain_matches():
+    assert {(k, "I0.0.0.1"[a:b]) for k, a, b in pii.scan_text("I0.0.0.1")} == {("ip", "0.0.0.1"), ("ip", "I0.0.0.1")}
+
+
+@pytest.mark.parametrize("text", [
+    "arrive at one point in time", "see you @ noon . at home", "meet me @ some point in may", "5l of 10 . 2o", "|1|2|3|4|",
+    "at last dot dot dot dot com dot dot", "un deux trois", "AT&T &#9; &amp; &#300;", "I 12 l 13", "vier at acht", "1.O"])
+def test_words_of_other_kinds_stay_clean(text):
+    assert pii.scan_text(text) == []
+
+
+def test_signs_and_shapes_take_linear_time():
+    for piece in ("a.", "a dot ", "a at ", "a @ ", "a . ", "a (dot) ", "l.", "1O", "1l ", "O.1 ", "&#", "&#64;", "un ", "a.at ",
+                  "a point ", "|1"):
+        start = time.process_time()
+        pii.scan_text(piece * (200_000 // len(piece)) + " at a dot com")
+        assert time.process_time() - start < 20, piece
+
+
 @pytest.mark.parametrize("text", ["999 dot 168 dot 1 dot 10", "3 point 5", "one 4111 two", "chapter one, 2023 and 5 [dot] 7",
                                   "stone 192 dot com", "phone 12 and one 345"])
 def test_other_digits_stay_clean(text):
